@@ -78,7 +78,7 @@ def sql_words(column: str) -> str:
     """The words of a column as DuckDB SQL."""
     return (
         f"list_filter(list_transform(string_split(regexp_replace(lower(coalesce({column}, '')), '{BOUNDARY}', ' ', 'g'), ' '), "
-        f"w -> regexp_replace(w, '^[''_]+|[''_]+$', '', 'g')), w -> w <> '')"
+        f"lambda w: regexp_replace(w, '^[''_]+|[''_]+$', '', 'g')), lambda w: w <> '')"
     )
 
 
