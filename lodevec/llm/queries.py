@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..util import table
-from . import frequency
+from ..util import settle, table
+from . import frequency, lookalike, mixture
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,45 @@ select term, occurrences, records,
 from f, n
 """
 
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.normalise(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_same_pairs(settle(_forms(spark, d), "forms"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d).select(F.col("key").alias("doc_id"), "repaired", "form")
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return settle(mixture.with_tokens(table(spark, d, "documents"), "doc_id", "text", "source"), "tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.balance(_counted(spark, d), table(spark, d, "mixture_targets")).where("short").select(F.col("planned").alias("source"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    counted = _counted(spark, d)
+    mixed = mixture.mix(counted, mixture.balance(counted, table(spark, d, "mixture_targets")))
+    return mixed.select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    counted = _counted(spark, d)
+    solved = mixture.balance(counted, table(spark, d, "mixture_targets"))
+    return mixture.shares(mixture.mix(counted, solved), solved)
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
 }
