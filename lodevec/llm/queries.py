@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..util import settle, table
-from . import frequency, lookalike, mixture
+from . import frequency, lookalike, mixture, neighbours
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,27 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mix(counted, solved), solved)
 
 
+
+def _nearest(spark: SparkSession, d: str, **how) -> DataFrame:
+    return neighbours.knn(table(spark, d, "import_records"), "id", "embedding", "collection_name", 5, **how)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(_nearest(spark, d))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact 5 nearest that the index finds, for every id divisible by 20 against all rows."""
+    ask = lambda i: F.pmod(i, F.lit(20)) == 0
+    exact = _nearest(spark, d, queries=ask, probe=1.0, rerank=1 << 30, spread=1 << 20).select("id", "neighbour")
+    got = _nearest(spark, d, queries=ask).select("id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(got, ["id", "neighbour"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("hit"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_recall": p4_recall,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
