@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..util import settle, table
-from . import frequency, lookalike, mixture, neighbours
+from . import duplicates, frequency, lookalike, mixture, neighbours
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,22 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("hit"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
+
+def _duplicates(spark: SparkSession, d: str):
+    return duplicates.near_duplicates(table(spark, d, "import_records"), "id", "document", "embedding")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.all_pairs(*_duplicates(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.groups(*_duplicates(spark, d))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p4_recall": p4_recall,
     "p7_found": p7_found,
