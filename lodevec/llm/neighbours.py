@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..util import settle
+
 #: Rows of a collection that one task searches; larger collections are split at coarse centroids.
 BLOCK_ROWS = 32_768
 #: Rows of a large collection from which its coarse centroids are fitted, and most rows from which a block's codebooks are.
@@ -337,6 +339,7 @@ def knn(
     got = placed.groupBy("g", "dim", "block").applyInArrow(search, "id bigint, neighbour bigint, distance double, shared boolean")
     if not big:
         return got
+    got = settle(got, "nearest")  # read twice below; the search must not run twice
     return _best(got, k) if heavy_pairs is None else _best(got, k, heavy_pairs)
 
 
