@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..util import settle, table
-from . import duplicates, frequency, lookalike, mixture, neighbours
+from . import duplicates, frequency, leakage, lookalike, mixture, neighbours
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,23 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.groups(*_duplicates(spark, d))
 
 
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the longest run that stands in one."""
+    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"))
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_items": p6_items,
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p4_found": p4_found,
