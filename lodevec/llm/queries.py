@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..util import settle, table
-from . import duplicates, frequency, leakage, lookalike, mixture, neighbours
+from . import clusters, duplicates, frequency, leakage, lookalike, mixture, neighbours
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,22 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("words").alias("longest_run"))
 
 
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.linked(table(spark, d, "import_records"), "id", "embedding")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d).select("first_id", "id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(_linked(spark, d)).select("first_id", "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p1_found": p1_found,
