@@ -33,7 +33,8 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shown(found: DataFrame, value: str = "distance") -> DataFrame:
-    return found.select("query_id", "rank", "id", F.round(value, 6).alias(value))
+    # adding 0.0 turns a negative zero into zero
+    return found.select("query_id", "rank", "id", (F.round(value, 6) + F.lit(0.0)).alias(value))
 
 
 def _topk(metric: str):
@@ -297,7 +298,7 @@ def _fold(spark, d) -> DataFrame:
 
 
 def _mutation_fold(spark, d):
-    return _fold(spark, d).select("id", F.col("internal_id").cast("bigint").alias("internal_id"), "collection_name", "document", "meta_year")
+    return _fold(spark, d).select("id", F.col("internal_id").cast("bigint").alias("internal_id"), "collection_name", "document", F.coalesce("meta_year", F.lit(-1)).alias("meta_year"))
 
 
 def _collection_stats(spark, d):
@@ -352,7 +353,7 @@ def _ranked_sql(source: str, dist: str, k: int = K, asked: str = "select id as q
     return (
         f"q as ({asked}), s as (select query_id, r.id, {dist} as distance from {source} r, q), "
         f"t as (select query_id, id, distance, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s) "
-        f"select query_id, rank, id, round(distance, 6) as distance from t where rank <= {k}"
+        f"select query_id, rank, id, round(distance, 6) + 0e0 as distance from t where rank <= {k}"
     )
 
 
@@ -472,7 +473,7 @@ SQL = {
     "pq_encode": _BOOKS + " select id, part, code from co",
     "pq_adc_topk": _BOOKS + f", ta as (select e.id as query_id, part, code, dist from pc e where id % 20 = 0), s as (select query_id, co.id, sum(dist) as distance from ta join co using (part, code) group by query_id, co.id), t as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s) select query_id, rank, id, round(distance, 6) as distance from t where rank <= {K}",
     "fvecs_roundtrip": f"select row_number() over (order by vec_id) - 1 as id, round({_DOT.format(a='embedding', b='embedding')}, 6) as length from embeddings",
-    "mutation_fold": "with " + _LOG + " select id, internal_id, collection_name, document, meta_year from n",
+    "mutation_fold": "with " + _LOG + " select id, internal_id, collection_name, document, coalesce(meta_year, -1) as meta_year from n",
     "collection_stats": "with " + _LOG + ", w as (select count(*) filter (op <> 'delete') as total from l), ac as (select count(*) as active from n) select active, total - active as deleted, total, round((total - active) / total::double, 6) as deleted_ratio from ac, w",
     "compact_renumber": "with " + _LOG + " select id, row_number() over (order by internal_id) - 1 as internal_id from n",
     "upsert_merge": "with " + _LOG + ", o as (select id as oid, min(document) as od from import_records group by id) select coalesce(id, oid) as id, coalesce(document, nullif(od, '')) as document from o full join n on oid = id",
