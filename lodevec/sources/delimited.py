@@ -252,7 +252,7 @@ def failed(parsed: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, sep: str, dimension: int) -> DataFrame:
     """Whole files with a header line: one row per record with its file, place, id, embedding, fields and reason."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
