@@ -16,7 +16,7 @@ FIT_ROWS = 20_000
 #: Most coarse centroids that are sent to the executors (128 bytes each at 32 dimensions); larger inputs get larger blocks.
 MAX_CENTROIDS = 100_000
 #: Rows that every query scans at least, as far as its block has them.
-LEAST_PROBED = 3_000
+LEAST_PROBED = 4_500
 #: A vector repeated more often than this share of a block within one collection leaves the search: see ``knn``.
 HEAVY_SHARE = 8
 
@@ -231,7 +231,7 @@ def _centroids(big: DataFrame, blocks: dict[tuple, int]) -> dict[tuple, np.ndarr
 
 
 def knn(
-    records: DataFrame, key: str, vector: str, group: str, k: int = 5, probe: float = 0.25, rerank: int = 128,
+    records: DataFrame, key: str, vector: str, group: str, k: int = 5, probe: float = 0.3, rerank: int = 128,
     block_rows: int = BLOCK_ROWS, spread: int = 3, queries=None,
 ) -> DataFrame:
     """(id, neighbour, distance, shared): for each key its k nearest rows of the same ``group`` by squared L2.
