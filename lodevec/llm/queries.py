@@ -124,6 +124,17 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.described(_linked(spark, d)).select("first_id", "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical"))
 
 
+_P1_SQL = f"""
+with r as (select id, any_value(document) as document, any_value(embedding) as embedding from import_records group by id),
+w as (select id, list_distinct({T.sql_words('document')}) as words, embedding from r),
+t as (select id, len(words) as n, unnest(words) as term from w where len(words) >= 8),
+j as (select a.id as id_a, b.id as id_b, any_value(a.n + b.n) as both_n, count(*) as shared
+  from t a join t b on a.term = b.term and a.id < b.id group by a.id, b.id),
+s as (select least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b from w a, w b where len(a.words) < 8 and a.id <> b.id
+  and list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) <= 0.01e0)
+select id_a, id_b from j where shared * 10 >= 7 * (both_n - shared) union select id_a, id_b from s
+"""
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
@@ -142,6 +153,7 @@ QUERIES = {
     "p2_terms": p2_terms,
 }
 SQL = {
+    "p1_found": _P1_SQL,
     "p2_terms": _P2_SQL,
     "p2_found": f"select term, verdict from ({_P2_SQL}) where verdict <> 'useful'",
 }
