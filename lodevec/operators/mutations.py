@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WRITES = ("add", "upsert", "update")
+from ..util import numbered
 
 
 def positions(log: DataFrame, seq: str = "seq", pos: str = "pos") -> DataFrame:
-    """Add ``internal_id``: the dense place of each write row by (seq, pos), -1 for deletes.
-
-    A running number over the whole log would be one task; instead each batch's writes are counted, batches get their
-    start by a prefix sum in two levels (blocks of batches, then batches of a block), and rows are numbered in batches.
-    """
-    write = F.when(F.col("op") != "delete", 1).otherwise(0)
-    batches = log.groupBy(F.col(seq).alias("s"), F.floor(F.col(seq) / 4096).alias("blk")).agg(F.sum(write).alias("w"))
-    blocks = batches.groupBy("blk").agg(F.sum("w").alias("bw"))
-    before = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("bstart", F.coalesce(F.sum("bw").over(before), F.lit(0))).select("blk", "bstart")
-    inner = Window.partitionBy("blk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = batches.withColumn("in", F.coalesce(F.sum("w").over(inner), F.lit(0))).join(blocks, "blk").select("s", (F.col("bstart") + F.col("in")).alias("start"))
-    place = Window.partitionBy(seq).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log.withColumn("nth", F.sum(write).over(place)).join(starts, F.col(seq) == F.col("s")).drop("s")
-    return numbered.withColumn("internal_id", F.when(F.col("op") != "delete", F.col("start") + F.col("nth") - 1).otherwise(-1)).drop("start", "nth")
+    """Add ``internal_id``: the dense place of each write row by (seq, pos), -1 for deletes."""
+    writes = numbered(log.where("op <> 'delete'"), [seq, pos], "internal_id")
+    deletes = log.where("op = 'delete'").withColumn("internal_id", F.lit(-1).cast("bigint"))
+    return writes.unionByName(deletes)
 
 
 def fold(log: DataFrame, payloads: list[str], seq: str = "seq", pos: str = "pos", latest: tuple[str, ...] = ()) -> DataFrame:
@@ -31,31 +20,26 @@ def fold(log: DataFrame, payloads: list[str], seq: str = "seq", pos: str = "pos"
 
     Rows of one id in order (seq, pos): a delete ends a life, and within a life a payload that a write leaves out (NULL) is
     inherited from the last write that had it; ``latest`` columns are those of the last write. What marks a removal (an
-    empty document, an empty map) is up to the caller. Rows of an id lie in one window partition, one id's history.
+    empty document, an empty map) is up to the caller.
+
+    One aggregate with a partial step before the shuffle, so that an id with very many rows is no single task: the last
+    row, the last delete, and each payload's last value with its place; a value from before the last delete is void, and
+    if the last value is void so are all before it.
     """
-    order = Window.partitionBy("id").orderBy(seq, pos).rowsBetween(Window.unboundedPreceding, 0)
-    lived = log.withColumn("life", F.sum(F.when(F.col("op") == "delete", 1).otherwise(0)).over(order))
-    same = Window.partitionBy("id", "life").orderBy(seq, pos).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(F.col(seq), F.col(pos))
+    is_delete = F.col("op") == "delete"
+    parts = [F.max_by(F.struct("op", "internal_id", *latest), at).alias("last"), F.max(F.when(is_delete, at)).alias("gone")]
     for p in payloads:
-        lived = lived.withColumn(p, F.last(p, ignorenulls=True).over(same))
-    last = Window.partitionBy("id").orderBy(F.desc(seq), F.desc(pos))
-    now = lived.withColumn("nth", F.row_number().over(last)).where("nth = 1 and op <> 'delete'")
-    return now.select("id", "internal_id", *latest, *payloads)
+        had = F.when(~is_delete & F.col(p).isNotNull(), at)
+        parts += [F.max_by(p, had).alias(f"v_{p}"), F.max(had).alias(f"at_{p}")]
+    now = log.groupBy("id").agg(*parts).where("last.op <> 'delete'")
+    kept = [F.when(F.col("gone").isNull() | (F.col(f"at_{p}") > F.col("gone")), F.col(f"v_{p}")).alias(p) for p in payloads]
+    return now.select("id", F.col("last.internal_id").alias("internal_id"), *[F.col(f"last.{c}").alias(c) for c in latest], *kept)
 
 
 def compacted(active: DataFrame) -> DataFrame:
-    """Active rows renumbered densely in the order of ``internal_id``: range partitions, then offsets per partition."""
-    ordered = active.repartitionByRange("internal_id").sortWithinPartitions("internal_id").withColumn("m", F.monotonically_increasing_id())
-    from ..util import settle
-
-    ordered = settle(ordered, "compact")
-    part = F.shiftright("m", 33)
-    at, starts = 0, []
-    for p, n in sorted((r[0], r[1]) for r in ordered.groupBy(part).count().collect()):
-        starts.append((p, at))
-        at += n
-    starts = active.sparkSession.createDataFrame(starts, "p bigint, start bigint")
-    return ordered.join(F.broadcast(starts), part == F.col("p")).withColumn("internal_id", F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m", "p", "start")
+    """Active rows renumbered densely in the order of ``internal_id``."""
+    return numbered(active.withColumnRenamed("internal_id", "__old"), ["__old"], "internal_id").drop("__old").select(*active.columns)
 
 
 def deduplicated(log: DataFrame) -> DataFrame:

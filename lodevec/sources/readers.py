@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import MAX_DIMENSION
-from ..util import settle
+from ..util import numbered
 
 # Suffixes that name a format.
 FORMATS = {
@@ -88,7 +88,7 @@ def mapped(raw: DataFrame, o: ImportOptions) -> DataFrame:
         if types[c] not in SCALARS:
             raise ValueError(f"metadata column {c} is not scalar")
     if o.id_column is None:
-        raw = _numbered(raw, "__id", o.id_start)
+        raw = numbered(raw, [], "__id", o.id_start)
     number = record_id(F.col(o.id_column), types[o.id_column]) if o.id_column else F.col("__id")
     if o.embedding_columns:
         vector = F.array(*[_number(F.col(c), c) for c in o.embedding_columns])
@@ -137,18 +137,6 @@ def _sized(rows: DataFrame, dimension: int | None) -> DataFrame:
     return rows.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(bad))
 
 
-def _numbered(rows: DataFrame, name: str, start: int) -> DataFrame:
-    """Dense numbers in file order: one count per partition, then an offset for each."""
-    tagged = settle(rows.withColumn("__m", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("__m", 33)
-    at, starts = start, []
-    for p, n in sorted((r[0], r[1]) for r in tagged.groupBy(part).count().collect()):
-        starts.append((p, at))
-        at += n
-    starts = rows.sparkSession.createDataFrame(starts, "__p bigint, __s bigint")
-    return tagged.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__s")
-
-
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -250,11 +238,11 @@ def _arrow(spark: SparkSession, path: str) -> DataFrame:
 
 def read_numbers(spark: SparkSession, path: str, dimension: int, sep: str = ",", has_header: bool = True, id_start: int = 0) -> DataFrame:
     """(id, embedding) of a purely numeric text file: no quoting, blank lines skipped, a wrong field count fails."""
-    lines = _numbered(spark.read.text(path), "n", 0)
+    lines = numbered(spark.read.text(path), [], "n")
     lines = lines.where(F.trim("value") != "") if not has_header else lines.where((F.trim("value") != "") & (F.col("n") > 0))
     parts = F.split(F.regexp_replace("value", "\r$", ""), F.lit("\t" if sep == "\t" else sep))
     values = F.transform(parts, lambda p: F.coalesce(F.trim(p).try_cast("float"), F.raise_error(F.lit("not a number")).cast("float")))
-    return _sized(_numbered(lines.select(values.alias("embedding"), "n").orderBy("n").drop("n"), "id", id_start).select("id", "embedding"), dimension)
+    return _sized(numbered(lines.select(values.alias("embedding"), "n"), ["n"], "id", id_start).select("id", "embedding"), dimension)
 
 
 def from_mappings(spark: SparkSession, rows: Iterable[dict], options: ImportOptions | None = None, batch_size: int = 8192, **how) -> Iterator[DataFrame]:

@@ -55,6 +55,24 @@ def drop_settled(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Add dense numbers from ``start``: by ``order``, or in the order of partitions and rows if it is empty.
+
+    Range partitions are sorted and written; each starts at the sum of the sizes of those before it. The driver sees one
+    count per partition, and no task sees more than its partition.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    tagged = settle(rows.withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33)
+    at, starts = start, []
+    for p, n in sorted((r[0], r[1]) for r in tagged.groupBy(part).count().collect()):
+        starts.append((p, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "__p bigint, __s bigint")
+    number = F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1)
+    return tagged.join(F.broadcast(offsets), part == F.col("__p")).withColumn(name, number).drop("__m", "__p", "__s")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
