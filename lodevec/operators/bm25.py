@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..types import between, check_results
+from ..util import settle
 from .topk import nearest, ranked
 
 # Fixed values of the ranking formula.
@@ -14,14 +15,19 @@ K1, B = 1.2, 0.75
 
 
 class TextIndex:
-    """Postings, lengths and document frequencies of the active documents, derived once and shared by searches."""
+    """Postings, lengths and document frequencies of the active documents, written once and shared by searches.
+
+    Documents stay whole on one partition from the word rows to the postings: counting terms and lengths and joining them
+    needs one shuffle by document.
+    """
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "document"):
-        tokens = docs.select(F.col(key).cast("bigint").alias("id"), T.terms(F.col(text)).alias("t")).where("size(t) > 0")
-        self.lengths = tokens.select("id", F.size("t").cast("bigint").alias("dl"))
+        rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+        tf = T.exploded_terms(rows.repartition("id"), "id", "text").groupBy("id", "term").agg(F.count("*").alias("tf"))
+        lengths = tf.groupBy(F.col("id").alias("of")).agg(F.sum("tf").alias("dl"))
         #: one row per (document, term) with its count and the document's length
-        exploded = tokens.select("id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
-        self.postings = exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        self.postings = settle(tf.join(lengths, F.col("id") == F.col("of")).select("id", "dl", "term", "tf"), "postings")
+        self.lengths = self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
 
     def search(self, queries: DataFrame, n: int, allowed: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -32,7 +38,8 @@ class TextIndex:
         document frequencies, which need no more than those postings.
         """
         check_results(n)
-        terms = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.explode(F.array_distinct(T.terms(F.col(text)))).alias("q"))
+        asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col(text).alias("text"))
+        terms = T.exploded_terms(asked, "query_id", "text", "q").distinct()
         wanted = terms.select(F.col("q").alias("term")).distinct()
         hits = self.postings.join(wanted, "term", "left_semi")
         df = hits.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
