@@ -13,6 +13,7 @@ from . import store
 from .functions import vectors
 from .functions import where as W
 from .operators import bm25, mutations, topk
+from .operators.indexes import IndexFlatSQ8
 from .types import METADATA, check_dimension, check_ef, check_links, check_metric, check_ratio, check_results, BOOLEAN, FLOAT, INTEGER, STRING
 from .util import settle
 
@@ -53,10 +54,23 @@ class Client:
         return IVFPQ(check_dimension(dimension), **settings)
 
 
+def to_result_dict(found: DataFrame, n_queries: int) -> dict:
+    """A result as nested lists by query, for results that fit the driver."""
+    value = "distance" if "distance" in found.columns else "score"
+    out: dict = {k: [[] for _ in range(n_queries)] for k in ("ids", value + "s", "metadatas", "documents")}
+    for r in found.orderBy("query_id", "rank").collect():
+        out["ids"][r.query_id].append(r.id)
+        out[value + "s"][r.query_id].append(r[value])
+        out["metadatas"][r.query_id].append(untagged(r.metadata))
+        out["documents"][r.query_id].append(r.document or "")
+    return out
+
+
 class Collection:
     """State is a DataFrame of the active records; each mutation batch is folded into it with a join on the touched ids.
 
-    ``M``, ``ef_construction`` and ``ef_search`` are checked and reported; the search itself is exact.
+    ``M`` and ``ef_construction`` are checked and reported; the search is exact. A ``quantized`` collection scans one-byte
+    codes and ranks the best max(ef_search, 2 k) by the vectors themselves.
     """
 
     def __init__(self, spark: SparkSession, name: str, dimension: int, metric: str = "l2", quantized: bool = False, M: int = 32, ef_construction: int = 200, ef_search: int = 96):  # noqa: N803
@@ -182,7 +196,30 @@ class Collection:
 
         return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, **options)], "upsert")
 
-    upsert_batch = upsert
+    def add_numpy(self, ids, embeddings) -> int:
+        from .sources.readers import from_arrays
+
+        return self.ingest([from_arrays(self.spark, ids, embeddings)], "add")
+
+    def upsert_numpy(self, ids, embeddings) -> int:
+        from .sources.readers import from_arrays
+
+        return self.ingest([from_arrays(self.spark, ids, embeddings)], "upsert")
+
+    def add_mappings(self, rows: Iterable[dict], **options) -> int:
+        """Rows of any iterable, a streamed dataset split for one, batch by batch."""
+        from .sources.readers import from_mappings
+
+        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, **options), "add")
+
+    def upsert_mappings(self, rows: Iterable[dict], **options) -> int:
+        from .sources.readers import from_mappings
+
+        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, **options), "upsert")
+
+    add_huggingface, upsert_huggingface = add_mappings, upsert_mappings
+    add_with_metadata, upsert_with_metadata, update_with_metadata = add, upsert, update
+    upsert_batch, upsert_batch_numpy = upsert, upsert_numpy
 
     def compact(self) -> dict:
         """Renumber the active rows densely and forget the dead; a report of before and after."""
@@ -266,9 +303,18 @@ class Collection:
             found, value = self._text_index().search(queries, n_results, allowed), "score"
         else:
             queries = self._queries(embeddings)
-            found, value = topk.nearest(self._candidates(where), queries, n_results, self.metric, key="internal_id"), "distance"
+            found, value = self._nearest(queries, n_results, where), "distance"
         return self._finished(found, queries, value, n_results, pad)
 
+    def _nearest(self, queries: DataFrame, n: int, where) -> DataFrame:
+        if not self.quantized:
+            return topk.nearest(self._candidates(where), queries, n, self.metric, key="internal_id")
+        index = IndexFlatSQ8(self.dimension, self.metric, rerank=-(-min(2048, max(self.ef_search, 2 * n)) // n))
+        index.rows = self.records.select(F.col("internal_id").alias("id"), "embedding")
+        allowed = None if where is None else self._candidates(where).select(F.col("internal_id").alias("id"))
+        found = index.search(queries, n, allowed)
+        return found.withColumn("distance", F.lit(1.0) - F.col("distance")) if self.metric == "ip" else found
+
     def query_hybrid(self, embeddings, texts, n_results: int = 10, where=None, rrf_k: int = 60, candidate_multiplier: int = 4, pad: bool = False) -> DataFrame:
         vectors_, texts_ = self._queries(embeddings), self._texts(texts)
         if len(texts) != vectors_.count():
@@ -285,6 +331,16 @@ class Collection:
 
     query_batch = query
 
+    def query_numpy(self, embeddings, n_results: int = 10) -> tuple:
+        """(ids, distances) as arrays of one row per query, padded with -1 and 0.0."""
+        import numpy as np
+
+        rows = self.query(embeddings=embeddings, n_results=n_results, pad=True).select("query_id", "rank", "id", "distance").toPandas().sort_values(["query_id", "rank"])
+        shape = (-1, n_results)
+        return rows["id"].to_numpy(np.int64).reshape(shape), rows["distance"].to_numpy(np.float64).reshape(shape)
+
+    query_batch_numpy = query_numpy
+
     # durability
 
     def _settings(self) -> dict:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quant
 from ..types import between, check_metric, check_results
 from . import kmeans
-from .topk import _unit, ranked
+from .topk import ranked
 
 
-def _matrix(column, d=None) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -198,6 +201,32 @@ class IVFPQ:
         count = 0 if self.codes is None else self.codes.count()
         return {"count": count, "dimension": self.dimension, "metric": self.metric, "nlist": self.nlist, "pq_subvectors": self.m, "nprobe": self.nprobe, "is_trained": self.is_trained}
 
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return _unit(x)
+    def save(self, path: str) -> None:
+        """Codes as Parquet, centroids and codebooks beside them; the settings come last."""
+        root = Path(path)
+        root.mkdir(parents=True, exist_ok=True)
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(str(root / "codes"))
+        keys = ("dimension", "metric", "nlist", "m", "nprobe", "ksub")
+        state = {k: getattr(self, k) for k in keys} | {"codes": self.codes is not None}
+        state |= {"centroids": self.centroids.tolist(), "books": [b.tolist() for b in self.books]} if self.is_trained else {}
+        (root / ".settings").write_text(json.dumps(state))
+        os.replace(root / ".settings", root / "settings.json")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IVFPQ:
+        """What ``save`` wrote; every id must be in exactly one list that exists."""
+        try:
+            s = json.loads((Path(path) / "settings.json").read_text())
+        except FileNotFoundError:
+            raise ValueError(f"no compressed collection at {path}") from None
+        has_codes, centroids, books = s.pop("codes"), s.pop("centroids", None), s.pop("books", None)
+        out = cls(**s)
+        if centroids is not None:
+            out.centroids, out.books = np.array(centroids), [np.array(b) for b in books]
+        if has_codes:
+            out.codes = spark.read.parquet(str(Path(path) / "codes"))
+            bad = out.codes.groupBy("id").count().where("count > 1").limit(1).count() + out.codes.where((F.col("list_no") < 0) | (F.col("list_no") >= out.nlist)).limit(1).count()
+            if bad:
+                raise ValueError(f"the codes at {path} are damaged")
+        return out

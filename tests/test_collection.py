@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodevec.collection import Client, Collection
+from lodevec.collection import Client, Collection, to_result_dict
 from lodevec.operators import mutations
 from lodevec.sources import readers as R
 from lodevec.streaming.ingest import upsert_stream
@@ -163,3 +163,16 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id bigint, embedding array<float>").parquet(str(tmp_path / "in"))
     upsert_stream(stream, c, str(tmp_path / "ckpt")).awaitTermination(60)
     assert c.records.agg(F.sum("id")).first()[0] == 3
+
+
+def test_arrays_and_quantised(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (200, 4)).astype(np.float32)
+    plain, small = Collection(spark, "p", 4), Collection(spark, "q", 4, quantized=True)
+    for c in (plain, small):
+        assert c.add_numpy(np.arange(200, dtype=np.int64), x) == 200
+    want, got = plain.query_numpy(x[:3], 5), small.query_numpy(x[:3], 5)
+    assert (want[0] == got[0]).all() and np.allclose(want[1], got[1])
+    assert want[0][:, 0].tolist() == [0, 1, 2]
+    nested = to_result_dict(plain.query(x[:2].tolist(), n_results=2), 2)
+    assert [v[0] for v in nested["ids"]] == [0, 1] and nested["metadatas"][0] == [{}, {}]

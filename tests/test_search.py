@@ -5,7 +5,7 @@ import pytest
 
 from lodevec.functions import quant
 from lodevec.functions import text as T
-from lodevec.operators import bm25, ivf, kmeans, topk
+from lodevec.operators import bm25, indexes, ivf, kmeans, topk
 from lodevec.operators.components import connected_components
 
 
@@ -159,3 +159,40 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, **{i: 20 for i in range(20, 80, 10)}}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_indexes(spark, clouds, tmp_path, metric):
+    x, q = clouds
+    r, a = frame(spark, range(600), x[:600]).cache(), asked(spark, q[:10])
+    exact = topk.nearest(r, a, 10, metric).cache()
+    made = [
+        (indexes.IndexFlat(16, metric), 1), (indexes.IndexHNSW(16, metric, M=8), 1), (indexes.IndexFlatSQ8(16, metric), 0.95), (indexes.IndexFlatSQ8(16, metric, rerank=0), 0.85),
+        (indexes.IndexScalarQuantizer(16, metric), 0.85), (indexes.IndexScalarQuantizer(16, metric, "fp16"), 0.95), (indexes.IndexIVFFlat(16, metric, 8, 6), 0.7),
+    ]
+    for n, (index, floor) in enumerate(made):
+        if not index.is_trained:
+            with pytest.raises(ValueError):
+                index.add(r)
+        index.train(r)
+        index.add(r)
+        got = index.search(a, 10)
+        assert topk.recall(got, exact).first()[0] >= floor, index.kind
+        index.save(str(tmp_path / str(n)))
+        again = indexes.load(spark, str(tmp_path / str(n)))
+        assert listed(again.search(a, 10)) == listed(got) and again.ntotal == 600
+        assert {i for i, _ in listed(index.search(a, 10, r.where("id < 5").select("id")))} <= set(range(5))
+    flat = listed(made[0][0].search(a, 10))
+    want = [(i, round(1 - d, 6)) if metric == "ip" else (i, d) for i, d in listed(exact)]
+    assert flat == want
+
+
+def test_ivfpq_save(spark, clouds, tmp_path):
+    r, a = frame(spark, range(300), clouds[0][:300]), asked(spark, clouds[1][:5])
+    index = ivf.IVFPQ(16, nlist=4, m=4, ksub=16).add(r)
+    index.save(str(tmp_path / "i"))
+    again = ivf.IVFPQ.load(spark, str(tmp_path / "i"))
+    assert listed(again.query(a, 5)) == listed(index.query(a, 5))
+    assert again.stats() == index.stats()
+    with pytest.raises(ValueError):
+        ivf.IVFPQ.load(spark, str(tmp_path / "none"))
