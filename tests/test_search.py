@@ -55,10 +55,10 @@ def test_bad_vectors(spark):
 
 
 def test_analyzer(spark):
-    text = "The QUICK—БЫСТРЫЙ, café_42 🚀 и don't rock'n'roll"
+    text = "The SWIFT—ЛОВКИЙ, naïve_7 🚀 и don't o'clock's"
     df = spark.createDataFrame([(text,), (None,), ("'_' __x'",), ("",)], "t string")
     got = [r[0] for r in df.select(T.terms(df.t)).collect()]
-    assert got == [["quick", "быстрый", "café_42", "rock'n'roll"], [], ["x"], []]
+    assert got == [["swift", "ловкий", "naïve_7", "o'clock's"], [], ["x"], []]
     for t in (text, "a '' _b_ ' c", None, "x　y"):
         one = spark.createDataFrame([(t,)], "t string")
         assert one.select(T.words(one.t)).first()[0] == T.python_words(t)
@@ -73,12 +73,12 @@ def texts(spark, *rows):
 
 
 def test_bm25(spark):
-    index = bm25.TextIndex(docs(spark, [(10, "Mojo vector search search"), (20, "Vector database engine"), (30, "Cooking recipe"), (40, None), (50, "the")]))
-    assert [i for i, _ in listed(index.search(texts(spark, "VECTOR, search!", "cooking"), 2), "score")] == [10, 20, 30]
+    index = bm25.TextIndex(docs(spark, [(10, "Exact vector lookup lookup"), (20, "Vector table scan"), (30, "Garden notes"), (40, None), (50, "the")]))
+    assert [i for i, _ in listed(index.search(texts(spark, "VECTOR, lookup!", "garden"), 2), "score")] == [10, 20, 30]
     tie = bm25.TextIndex(docs(spark, [(i, "shared") for i in (5, 4, 3, 2, 1)]))
     assert [i for i, _ in listed(tie.search(texts(spark, "shared"), 2), "score")] == [1, 2]
-    russian = bm25.TextIndex(docs(spark, [(1, "«Быстрый» поиск — на Mojo"), (2, "Совсем другой документ")]))
-    assert [i for i, _ in listed(russian.search(texts(spark, "ПОИСК mojo"), 2), "score")] == [1]
+    russian = bm25.TextIndex(docs(spark, [(1, "«Точный» разбор — для Spark"), (2, "Ничего общего здесь")]))
+    assert [i for i, _ in listed(russian.search(texts(spark, "РАЗБОР spark"), 2), "score")] == [1]
     assert russian.search(texts(spark, "the"), 2).count() == 0
 
 
