@@ -194,11 +194,11 @@ def leaks(
     norm2 = np.bincount(np.repeat(np.arange(len(item_rows)), [len(np.unique(r)) for r in item_rows]), weights=_presence(item_rows, idf)[2] ** 2)
     outside = np.sqrt(np.maximum(norm2 - (inside**2).sum(1), 0))
     shipped = spark.sparkContext.broadcast((basis, inside, outside, np.array(least), np.array(item_at), item_rows, idf, item_codes))
-    runs_of = _Runs(run)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, inside, outside, least, item_at, item_rows, idf, item_codes = shipped.value
         keys_of_items = [k for k, _ in item_codes]
+        item_runs = [run_keys(r, run) for r in item_rows]
         for b in batches:
             docs_, items_, lengths = [], [], []
             keys = b.column(0)
@@ -216,13 +216,16 @@ def leaks(
                 full = np.bincount(row, weights=weight**2, minlength=len(part))
                 rest = np.sqrt(np.maximum(full - (z * z).sum(1), 0))
                 bound = z @ inside.T + rest[:, None] * outside[None]
-                for x, a in zip(*np.nonzero(bound >= least[None] * (1 - 1e-9) - 1e-9)):
-                    if runs_of.shared(part[x], item_rows[a]):
-                        hits.add((at[s + x], int(item_at[a])))
+                near = bound >= least[None] * (1 - 1e-9) - 1e-9
+                for x in np.flatnonzero(near.any(1)):
+                    mine = run_keys(part[x], run)
+                    for a in np.flatnonzero(near[x]):
+                        if not mine.isdisjoint(item_runs[a]):
+                            hits.add((at[s + x], int(item_at[a])))
             for i, a in sorted(hits):
                 docs_.append(i)
                 items_.append(keys_of_items[a])
-                lengths.append(runs_of.longest(stretches[i], item_codes[a][1]))
+                lengths.append(longest_run(stretches[i], item_codes[a][1]))
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(docs_, pa.int64())), pa.array(items_), pa.array(lengths, pa.int32())] if docs_ else
                 [keys.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int32())],
@@ -233,34 +236,16 @@ def leaks(
     return found.groupBy("doc", "item").agg(F.max("words").alias("words"))
 
 
-class _Runs:
-    """Comparison of two sequences of word numbers by their runs."""
-
-    def __init__(self, run: int):
-        self.run = run
-
-    def shared(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether they have a run of ``run`` words in common: such a run is a diagonal of equal words."""
-        same = a[:, None] == b[None]
-        if same.sum() < self.run:
-            return False
-        for shift in range(self.run - len(a), len(b) - self.run + 1):
-            d = np.diagonal(same, shift)
-            if d.sum() >= self.run and _longest_true(d) >= self.run:
-                return True
-        return False
-
-    def longest(self, a: np.ndarray, b: np.ndarray) -> int:
-        best = 0
-        for s in range(0, len(a), 4096):
-            same = a[max(0, s - len(b)) : s + 4096, None] == b[None]
-            for shift in range(1 - same.shape[0], same.shape[1]):
-                d = np.diagonal(same, shift)
-                if len(d) > best and d.sum() > best:
-                    best = max(best, _longest_true(d))
-        return best
-
-
-def _longest_true(d: np.ndarray) -> int:
-    edge = np.flatnonzero(np.diff(np.r_[0, d.astype(np.int8), 0]))
-    return int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
+def run_keys(words: np.ndarray, run: int) -> frozenset[bytes]:
+    """Every run of ``run`` word numbers as bytes: two passages share a run just when these sets meet."""
+    words = np.ascontiguousarray(words, np.int32)
+    return frozenset(words[s : s + run].tobytes() for s in range(len(words) - run + 1))
+
+
+def longest_run(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest run of equal words, by one row of run lengths for each word of ``a``."""
+    best, row = 0, np.zeros(len(b) + 1, np.int32)
+    for w in a:
+        row[1:] = np.where(b == w, row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
+    return best
