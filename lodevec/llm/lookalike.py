@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import md5_long
+from ..util import md5_long, settle
 
 # Letters that look like a Latin letter, by that letter. Only letters that are no composition are listed:
 # accents are taken off before the comparison and composed again after it.
@@ -31,6 +32,7 @@ _FOLD = str.maketrans(PROTOTYPE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1 << 16)
 def script(ch: str) -> str:
     """The script of a letter by the first word of its name: LATIN, CYRILLIC, GREEK and so on."""
     return unicodedata.name(ch, "NONE").split(" ", 1)[0]
@@ -55,8 +57,11 @@ def base_form(text: str) -> str:
 
 def _fold_token(m: re.Match) -> str:
     token = m.group()
-    if token.isascii():
-        return token
+    return token if token.isascii() else _folded(token)
+
+
+@lru_cache(maxsize=1 << 16)
+def _folded(token: str) -> str:
     own = {script(c) for c in unicodedata.normalize("NFD", token) if c.isalpha() and c not in _LATIN_SHAPES}
     if len(own) == 1 and (to := VARIANTS.get(own.pop())):
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(to))
@@ -79,6 +84,7 @@ def consistent_form(text: str) -> str:
     return _LETTERS.sub(_fold_token, folded)
 
 
+@lru_cache(maxsize=1 << 16)
 def repair_candidate(token: str) -> str | None:
     """For a token of mixed scripts, its spelling in its dominant script; None if it isn't mixed or can't be spelt so.
 
@@ -159,8 +165,8 @@ def normalise(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), md5_long(F.col(text)).alias("digest"))
-    base = rows.mapInArrow(
-        _prepared, f"key {kind}, digest binary, base string, mixed array<string>, spelt array<string>"
+    base = settle(
+        rows.mapInArrow(_prepared, f"key {kind}, digest binary, base string, mixed array<string>, spelt array<string>"), "base"
     )
     some = base.where(F.size("mixed") > 0).select("digest", F.arrays_zip("mixed", "spelt").alias("z")).dropDuplicates(["digest"])
     wanted = some.select("digest", F.explode("z").alias("z")).select("digest", "z.mixed", "z.spelt")
