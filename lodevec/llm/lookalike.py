@@ -50,9 +50,17 @@ def _variants() -> dict[str, dict[int, str]]:
 VARIANTS = _variants()
 
 
+_TRANSLATED = re.compile("[" + "".join(map(re.escape, map(chr, _BASE))) + "]")
+#: All look-alikes and the blocks of their scripts, Greek and Coptic to Armenian with extensions and supplements: a text
+#: without any of these characters is its own fold.
+_SUSPECT = re.compile("[\u0370-\u058f\u1c80-\u1c8f\u1d26-\u1d2b\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f" + "".join(PROTOTYPE) + "]")
+
+
 def base_form(text: str) -> str:
     """Ordinary width, composed accents, no zero-width characters, blanks for all spaces (line breaks and tabs stay)."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_BASE))
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", text.translate(_BASE) if _TRANSLATED.search(text) else text)
 
 
 def _fold_token(m: re.Match) -> str:
@@ -78,7 +86,7 @@ def consistent_form(text: str) -> str:
     script's letters. Both steps see only what the text looks like, so equal looks give equal forms whatever was typed.
     """
     text = base_form(text)
-    if text.isascii():
+    if text.isascii() or not _SUSPECT.search(text):
         return text
     folded = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_FOLD))
     return _LETTERS.sub(_fold_token, folded)
