@@ -124,12 +124,52 @@ class AnisotropicCodes:
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, probe: float, rerank: int):
     """(query row, found row, squared distance) arrays: up to k rows for each query, without the query's own id.
 
+    Equal vectors are one entry of the index and equal queries one search, so that copies neither crowd out other rows nor
+    each other. The nearest k + 1 entries hold the nearest k rows of other ids, whatever id the query has itself.
+    """
+    n = len(x)
+    if n <= 4 * rerank or not len(q):
+        return _exact(ids, x, qids, q, k)
+    by_id = np.argsort(ids, kind="stable")
+    ids = ids[by_id]
+    entry, copies = distinct(x[by_id])
+    first = np.searchsorted(entry[copies], np.arange(entry.max() + 2))  # ``copies``: rows by entry, smaller ids first
+    asked, same = distinct(q)
+    of = np.searchsorted(asked[same], np.arange(asked.max() + 1))
+    at, dist = _search_entries(x[by_id][copies[first[:-1]]], ids[copies[first[:-1]]], q[same[of]], k + 1, probe, rerank)
+    # each entry found stands for the k + 1 smallest ids of its vector; each query takes its own id out of them
+    place = first[at][:, :, None] + np.arange(k + 1)
+    there = (place < first[at + 1][:, :, None]) & np.isfinite(dist)[:, :, None]
+    rows = ids[copies[np.minimum(place, n - 1)]].reshape(len(at), -1)
+    far = np.where(there, dist[:, :, None], np.inf).reshape(len(at), -1)
+    take = np.lexsort((rows, far), axis=1)[:, : k + 1]
+    rows, far = np.take_along_axis(rows, take, 1)[asked], np.take_along_axis(far, take, 1)[asked]
+    ok = np.isfinite(far) & (rows != qids[:, None])
+    ok &= ok.cumsum(1) <= k
+    return np.nonzero(ok)[0], rows[ok], far[ok]
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's vector, rows sorted by that number): equal vectors have one number, 0.0 and -0.0 are equal."""
+    raw = np.ascontiguousarray(x + x.dtype.type(0))
+    _, number = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_inverse=True)
+    return number, np.argsort(number, kind="stable")
+
+
+def _search_entries(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probe: float, rerank: int):
+    """(row of x, squared distance), queries x up to k: the nearest of distinct vectors, ties by smaller id.
+
     Cells of about sqrt(n) rows; the queries of one cell scan the codes of the nearest cells, at least ``probe`` of the
-    rows, and the ``rerank`` best by approximate distance are ranked by the exact one, ties by smaller id.
+    rows, and the ``rerank`` best by approximate distance are ranked by the exact one. If so many are equally far that the
+    last of the k is no nearer than the farthest reranked, the query is compared with every row.
     """
     n, d = x.shape
+    k = min(k, n)
+    got, far = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
     if n <= 4 * rerank:
-        return _exact(ids, x, qids, q, k)
+        for s in range(0, len(q), 512):
+            got[s : s + 512], far[s : s + 512] = _every(x, ids, q[s : s + 512], k)
+        return got, far
     centre = x.mean(0)
     xs, qs = (x - centre).astype(np.float32), (q - centre).astype(np.float32)
     nlist = max(1, int(np.sqrt(n)))
@@ -145,11 +185,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     tables = code.byte_tables()
     near = squared(cells, cells).argsort(1)
     counts = np.diff(starts)
-    enough = max(probe * n, LEAST_PROBED)
+    enough = max(probe * n, LEAST_PROBED, k)
     home = nearest(qs, cells)
     q_order = np.argsort(home, kind="stable")
     q_starts = np.searchsorted(home[q_order], np.arange(nlist + 1))
-    out_q, out_x, out_d = [], [], []
     for g in range(nlist):
         mine = q_order[q_starts[g] : q_starts[g + 1]]
         if not len(mine):
@@ -162,19 +201,31 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         for s in range(0, len(mine), 256):
             part = mine[s : s + 256]
             score = bias[rows][None] - qs[part] @ coded.T
-            r = min(rerank + 1, len(rows))
+            r = min(max(rerank, k) + 1, len(rows))
             top = rows[np.argpartition(score, r - 1, axis=1)[:, :r]]
             gap = x[top].astype(np.float64)
             gap -= q[part][:, None, :]
             dist = np.einsum("qrd,qrd->qr", gap, gap)
-            dist[ids[top] == qids[part][:, None]] = np.inf
             take = np.lexsort((ids[top], dist), axis=1)[:, :k]
             best = np.take_along_axis(dist, take, 1)
-            ok = np.isfinite(best)
-            out_q.append(np.repeat(part, k)[ok.ravel()] if best.shape[1] == k else np.repeat(part, best.shape[1])[ok.ravel()])
-            out_x.append(ids[np.take_along_axis(top, take, 1)[ok]])
-            out_d.append(best[ok])
-    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_d)
+            found = np.take_along_axis(top, take, 1)
+            tied = best[:, -1] >= dist.max(1)
+            if r < n and tied.any():
+                found[tied], best[tied] = _every(x, ids, q[part[tied]], k)
+            got[part, : found.shape[1]], far[part, : found.shape[1]] = order[found], best
+    return got, far
+
+
+def _every(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int):
+    """As ``_search_entries``, from the exact distances to all rows."""
+    x64 = x.astype(np.float64)
+    got, far = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
+    for i, v in enumerate(q.astype(np.float64)):
+        row = ((x64 - v) ** 2).sum(1)
+        close = np.nonzero(row <= np.partition(row, k - 1)[k - 1])[0]
+        got[i] = close[np.lexsort((ids[close], row[close]))[:k]]
+        far[i] = row[got[i]]
+    return got, far
 
 
 def _exact(ids, x, qids, q, k):
