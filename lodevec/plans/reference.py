@@ -17,6 +17,8 @@ from ..util import table
 
 K = 10
 NLIST, NPROBE, PARTS, KSUB = 16, 4, 8, 64
+#: Codewords of a part as the survey has them, and the lists that ivfpq_topk probes.
+FULL_KSUB, PQ_NPROBE = 256, 12
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -244,13 +246,12 @@ def _ivf_flat(spark, d):
     return _shown(ivf.search_flat(r, _asked(r), _fixed_centroids(spark, d), K, NPROBE))
 
 
-def _fixed_books(spark, d) -> list[np.ndarray]:
-    x = np.array([r.embedding for r in _records(spark, d).orderBy("id").limit(KSUB).collect()], np.float64)
-    return np.split(x, PARTS, axis=1)
+def _first_rows(spark, d, n: int) -> np.ndarray:
+    return np.array([r.embedding for r in _records(spark, d).orderBy("id").limit(n).collect()], np.float64)
 
 
-def _pq_codes(spark, d) -> DataFrame:
-    books = spark.sparkContext.broadcast(_fixed_books(spark, d))
+def _pq_codes(spark, d, ksub: int = KSUB) -> DataFrame:
+    books = spark.sparkContext.broadcast(np.split(_first_rows(spark, d, ksub), PARTS, axis=1))
 
     def run(batches):
         import pyarrow as pa
@@ -264,16 +265,25 @@ def _pq_codes(spark, d) -> DataFrame:
     return _records(spark, d).select("id", "embedding").mapInArrow(run, "id bigint, code array<smallint>, decoded array<double>")
 
 
-def _pq_encode(spark, d):
-    return _pq_codes(spark, d).select("id", F.posexplode("code").alias("part", "code")).select("id", F.col("part").cast("bigint").alias("part"), F.col("code").cast("bigint").alias("code"))
+def _pq_encode(spark, d, ksub: int = KSUB):
+    return _pq_codes(spark, d, ksub).select("id", F.posexplode("code").alias("part", "code")).select("id", F.col("part").cast("bigint").alias("part"), F.col("code").cast("bigint").alias("code"))
 
 
-def _pq_topk(spark, d):
+def _pq_topk(spark, d, ksub: int = KSUB):
     """Asymmetric distances: the query to each row's decoded codewords, which is what the table of distances adds up."""
-    c = _pq_codes(spark, d).select("id", F.col("decoded").alias("embedding"))
+    c = _pq_codes(spark, d, ksub).select("id", F.col("decoded").alias("embedding"))
     return _shown(topk.nearest(c, _asked(_records(spark, d)), K))
 
 
+def _ivfpq_topk(spark, d):
+    """Fixed lists, and the residuals of the first rows as codewords; distances by the codes alone."""
+    r, centroids = _records(spark, d), _fixed_centroids(spark, d)
+    first = _first_rows(spark, d, FULL_KSUB)
+    books = np.split(first - centroids[kmeans.assign(first, centroids)], PARTS, axis=1)
+    index = ivf.IVFPQ(first.shape[1], "l2", len(centroids), PARTS, min(PQ_NPROBE, len(centroids)), len(first), centroids, books)
+    return _shown(index.add(r).query(_asked(r), K))
+
+
 def _ivfpq_recall(spark, d):
     r = _records(spark, d)
     n = r.count()
@@ -415,6 +425,21 @@ _BOOKS = _E + f"""bk as (select row_number() over (order by id) - 1 as code, emb
 p as (select unnest(range({PARTS})) as part),
 pc as (select id, part, code, list_sum(list_transform(list_zip(embedding[part * 8 + 1 : part * 8 + 8], c[part * 8 + 1 : part * 8 + 8]), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as dist from e, bk, p),
 co as (select id, part, code from (select id, part, code, row_number() over (partition by id, part order by dist, code) as r from pc) where r = 1)"""
+_FULL_BOOKS = _BOOKS.replace(f"limit {KSUB})", f"limit {FULL_KSUB})")
+_PQ_TOP = f", ta as (select e.id as query_id, part, code, dist from pc e where id % 20 = 0), s as (select query_id, co.id, sum(dist) as distance from ta join co using (part, code) group by query_id, co.id), t as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s) select query_id, rank, id, round(distance, 6) as distance from t where rank <= {K}"
+_RESIDUAL = "list_transform(list_zip(embedding, c), lambda z: z[1]::double - z[2]::double)"
+_PART_L2 = "list_sum(list_transform(list_zip(r[part * 8 + 1 : part * 8 + 8], w[part * 8 + 1 : part * 8 + 8]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_IVFPQ = _LISTS + f""", re as (select id, list_no, {_RESIDUAL} as r from li join e using (id) join ce using (list_no)),
+bk as (select row_number() over (order by id) - 1 as code, r as w from (select id, r from re order by id limit {FULL_KSUB})),
+p as (select unnest(range({PARTS})) as part),
+pc as (select id, list_no, part, code, {_PART_L2} as dist from re, bk, p),
+co as (select id, list_no, part, code from (select *, row_number() over (partition by id, part order by dist, code) as n from pc) where n = 1),
+pr as (select id as query_id, list_no from (select id, list_no, row_number() over (partition by id order by dist, list_no) as n from al where id % 20 = 0) where n <= {PQ_NPROBE}),
+rq as (select query_id, list_no, {_RESIDUAL} as r from pr join e on e.id = query_id join ce using (list_no)),
+ta as (select query_id, list_no, part, code, {_PART_L2} as dist from rq, bk, p),
+s as (select query_id, co.id, sum(dist) as distance from ta join co using (list_no, part, code) group by query_id, co.id),
+t as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s)
+select query_id, rank, id, round(distance, 6) as distance from t where rank <= {K}"""
 _LOG = """l as (select distinct seq_no as seq, frame_pos as pos, mutation_op as op, id, collection_name, document, meta_year from mutation_log),
 a as (select *, sum(case when op = 'delete' then 1 else 0 end) over (partition by id order by seq, pos rows between unbounded preceding and current row) as seg,
   sum(case when op <> 'delete' then 1 else 0 end) over (order by seq, pos rows between unbounded preceding and current row) - 1 as internal_id from l),
@@ -433,6 +458,7 @@ QUERIES = {
     "sq8_rerank": lambda s, d: _shown(_sq8_reranked(s, d)),
     "sq_dim_bounds": _sq_dims, "sq_roundtrip_error": _sq_error, "sq_topk": _sq_topk, "fp16_topk": _fp16,
     "kmeans_assign": _assign, "kmeans_one_iter": _one_iteration, "ivf_list_sizes": _list_sizes, "ivf_flat_topk": _ivf_flat,
+    "pq256_encode": lambda s, d: _pq_encode(s, d, FULL_KSUB), "pq256_adc_topk": lambda s, d: _pq_topk(s, d, FULL_KSUB), "ivfpq_topk": _ivfpq_topk,
     "pq_encode": _pq_encode, "pq_adc_topk": _pq_topk, "ivfpq_trained_recall": _ivfpq_recall, "fvecs_roundtrip": _fvecs,
     "mutation_fold": _mutation_fold, "collection_stats": _collection_stats, "compact_renumber": _compact, "upsert_merge": _upsert_merge, "delete_antijoin": _delete,
     "recall_at_10_sq8": _recall(_sq8_reranked),
@@ -472,6 +498,9 @@ SQL = {
     "ivf_flat_topk": _LISTS + f", pr as (select id as query_id, list_no from (select id, list_no, row_number() over (partition by id order by dist, list_no) as r from al where id % 20 = 0) where r <= {NPROBE}), s as (select query_id, r.id, {_L2.format(a='r.embedding', b='o.embedding')} as distance from pr join li using (list_no) join e r on r.id = li.id join e o on o.id = pr.query_id), t as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s) select query_id, rank, id, round(distance, 6) as distance from t where rank <= {K}",
     "pq_encode": _BOOKS + " select id, part, code from co",
     "pq_adc_topk": _BOOKS + f", ta as (select e.id as query_id, part, code, dist from pc e where id % 20 = 0), s as (select query_id, co.id, sum(dist) as distance from ta join co using (part, code) group by query_id, co.id), t as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from s) select query_id, rank, id, round(distance, 6) as distance from t where rank <= {K}",
+    "pq256_encode": _FULL_BOOKS + " select id, part, code from co",
+    "pq256_adc_topk": _FULL_BOOKS + _PQ_TOP,
+    "ivfpq_topk": _IVFPQ,
     "fvecs_roundtrip": f"select row_number() over (order by vec_id) - 1 as id, round({_DOT.format(a='embedding', b='embedding')}, 6) as length from embeddings",
     "mutation_fold": "with " + _LOG + " select id, internal_id, collection_name, document, coalesce(meta_year, -1) as meta_year from n",
     "collection_stats": "with " + _LOG + ", w as (select count(*) filter (op <> 'delete') as total from l), ac as (select count(*) as active from n) select active, total - active as deleted, total, round((total - active) / total::double, 6) as deleted_ratio from ac, w",
