@@ -112,8 +112,8 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _linked(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.linked(table(spark, d, "import_records"), "id", "embedding")
+def _linked(spark: SparkSession, d: str, **how) -> DataFrame:
+    return clusters.linked(table(spark, d, "import_records"), "id", "embedding", **how)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.described(_linked(spark, d)).select("first_id", "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical"))
+    return clusters.described(_linked(spark, d, whole=True)).select("first_id", "size", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical"))
 
 
 _P1_SQL = f"""
