@@ -283,7 +283,7 @@ def _centroids(big: DataFrame, blocks: dict[tuple, int]) -> dict[tuple, np.ndarr
 
 def knn(
     records: DataFrame, key: str, vector: str, group: str, k: int = 5, probe: float = 0.3, rerank: int = 128,
-    block_rows: int = BLOCK_ROWS, spread: int = 3, queries=None,
+    block_rows: int = BLOCK_ROWS, spread: int = 3, queries=None, every_block: bool = False,
 ) -> DataFrame:
     """(id, neighbour, distance, shared): for each key its k nearest rows of the same ``group`` by squared L2.
 
@@ -292,6 +292,7 @@ def knn(
     boundary is close, and its best k overall come out (``shared`` marks such rows). A vector that one large group repeats
     very often needs no search: any k others of its copies are at distance 0, so its rows get the smallest ids among them
     and only k + 1 of them stay in the index. ``queries``: a condition on ``id`` for the rows to search for, default all.
+    ``every_block``: each row is compared with every row of its group, whatever its block: the yardstick of the index.
 
     Rows whose group, key or vector is NULL or whose vector has a component that isn't finite take no part; repeats of a
     key count once; vectors of another length form a group of their own; ties go to the smaller key; an empty table gives
@@ -319,16 +320,19 @@ def knn(
             copies = rows.join(side, same, "left_semi")
             tagged = copies.join(_smallest(copies, k + 1), ["g", "v"])
             near = F.slice(F.filter("firsts", lambda i: i != F.col("id")), 1, k)
-            heavy_pairs = tagged.select("id", F.explode(near).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(True).alias("shared"))
+            tagged_asked = tagged if queries is None else tagged.where(queries(F.col("id")))
+            heavy_pairs = tagged_asked.select("id", F.explode(near).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(True).alias("shared"))
             kept = tagged.where(F.array_contains("firsts", F.col("id"))).select("g", "id", "dim", "v")
             rows = rows.join(side, same, "left_anti").union(kept)
         sample = in_big.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("keep") * (1 << 30)).select("g", "id", "dim", "v")
         centroids = _centroids(sample, {b: -(-n // size) for b, n in big.items()})
     shipped = spark.sparkContext.broadcast(centroids)
+    rows = rows.withColumn("ask", F.lit(True) if queries is None else queries(F.col("id")))
 
     def place(batches):
         for b in batches:
-            g, ids, dim, v = (b.column(i) for i in range(4))
+            g, ids, dim, v, asked = (b.column(i) for i in range(5))
+            asks = np.array(asked.to_pylist(), bool)
             block = np.zeros(b.num_rows, np.int32)
             extra = []
             if shipped.value:
@@ -341,7 +345,7 @@ def knn(
                         continue
                     x = values[offsets[rows_of][:, None] + np.arange(d)]
                     dist = squared(x, c)
-                    rank = np.argsort(dist, 1)[:, :spread]
+                    rank = np.argsort(dist, 1)[:, : None if every_block else spread]
                     first = rank[:, 0]
                     block[rows_of] = first
                     for t in range(1, rank.shape[1]):
@@ -349,26 +353,23 @@ def knn(
                         # distance to the plane between the two blocks against the distance to the own centroid
                         between = np.sqrt(np.maximum(((c[first] - c[other]) ** 2).sum(1), 1e-12))
                         gap = (dist[np.arange(len(x)), other] - dist[np.arange(len(x)), first]) / (2 * between)
-                        close = gap < 0.35 * np.sqrt(np.maximum(dist[np.arange(len(x)), first], 1e-12))
+                        close = every_block | (gap < 0.35 * np.sqrt(np.maximum(dist[np.arange(len(x)), first], 1e-12)))
+                        close &= asks[rows_of]
                         extra += zip(rows_of[close], other[close])
             home = pa.RecordBatch.from_arrays(
-                [g, ids, dim, v, pa.array(block), pa.array(np.zeros(b.num_rows, bool)), pa.array(np.isin(np.arange(b.num_rows), [e[0] for e in extra]))],
-                names=["g", "id", "dim", "v", "block", "guest", "shared"],
+                [g, ids, dim, v, pa.array(block), pa.array(np.zeros(b.num_rows, bool)), pa.array(np.isin(np.arange(b.num_rows), [e[0] for e in extra])), pa.array(asks)],
+                names=["g", "id", "dim", "v", "block", "guest", "shared", "ask"],
             )
             yield home
             if extra:
                 take = pa.array([int(e[0]) for e in extra])
                 yield pa.RecordBatch.from_arrays(
                     [g.take(take), ids.take(take), dim.take(take), v.take(take), pa.array([int(e[1]) for e in extra], pa.int32()),
-                     pa.array(np.ones(len(take), bool)), pa.array(np.ones(len(take), bool))],
-                    names=["g", "id", "dim", "v", "block", "guest", "shared"],
+                     pa.array(np.ones(len(take), bool)), pa.array(np.ones(len(take), bool)), pa.array(np.ones(len(take), bool))],
+                    names=["g", "id", "dim", "v", "block", "guest", "shared", "ask"],
                 )
 
-    placed = rows.mapInArrow(place, "g string, id bigint, dim int, v array<float>, block int, guest boolean, shared boolean")
-    if queries is not None:
-        placed = placed.withColumn("ask", queries(F.col("id"))).where("ask or not guest")
-    else:
-        placed = placed.withColumn("ask", F.lit(True))
+    placed = rows.select("g", "id", "dim", "v", "ask").mapInArrow(place, "g string, id bigint, dim int, v array<float>, block int, guest boolean, shared boolean, ask boolean")
 
     def search(key, t):
         dim = key[1].as_py()
@@ -384,7 +385,10 @@ def knn(
         if not own.any() or not ask.any():
             return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "shared": pa.array([], pa.bool_())})
         qids, q, qshared = ids[ask], x[ask], shared[ask]
-        at, found, dist = search_block(ids[own], x[own], qids, q, k, probe, rerank)
+        if every_block:
+            at, found, dist = _exact(ids[own], x[own], qids, q, k)
+        else:
+            at, found, dist = search_block(ids[own], x[own], qids, q, k, probe, rerank)
         return pa.table({"id": qids[at], "neighbour": found, "distance": dist, "shared": qshared[at]})
 
     got = placed.groupBy("g", "dim", "block").applyInArrow(search, "id bigint, neighbour bigint, distance double, shared boolean")

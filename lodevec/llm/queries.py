@@ -78,7 +78,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of the exact 5 nearest that the index finds, for every id divisible by 20 against all rows."""
     ask = lambda i: F.pmod(i, F.lit(20)) == 0
-    exact = _nearest(spark, d, queries=ask, probe=1.0, rerank=1 << 30, spread=1 << 20).select("id", "neighbour")
+    exact = _nearest(spark, d, queries=ask, every_block=True).select("id", "neighbour")
     got = _nearest(spark, d, queries=ask).select("id", "neighbour", F.lit(1).alias("hit"))
     both = exact.join(got, ["id", "neighbour"], "left")
     return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("hit"), (F.count("hit") / F.count("*")).alias("recall"))
