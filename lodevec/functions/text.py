@@ -94,12 +94,15 @@ def sql_stop_list() -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + ")"
 
 
-_PYTHON_BOUNDARY = re.compile(python_boundary())
+_PYTHON_WORD = re.compile(python_boundary().replace("[", "[^", 1))
 
 
 def python_words(text: str | None) -> list[str]:
     """``words`` for one text in a Python worker, where the set operations on words are cheaper than in expressions."""
     if not text:
         return []
-    parts = _PYTHON_BOUNDARY.sub(" ", text.lower()).split(" ")
-    return [w for w in (p.strip("'_") for p in parts) if w]
+    text = text.lower()
+    parts = _PYTHON_WORD.findall(text)
+    if "'" in text or "_" in text:
+        return [w for w in (p.strip("'_") for p in parts) if w]
+    return parts
