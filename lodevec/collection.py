@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from .functions import vectors
 from .functions import where as W
 from .operators import bm25, mutations, topk
 from .operators.indexes import IndexFlatSQ8
+from .sources.readers import packed
 from .types import METADATA, check_dimension, check_ef, check_links, check_metric, check_ratio, check_results, BOOLEAN, FLOAT, INTEGER, STRING
-from .util import settle
+from .util import drop_settled, numbered, settle
 
 ROW = f"seq bigint, pos bigint, op string, id bigint, embedding array<float>, metadata {METADATA}, document string"
 STATE = f"id bigint, internal_id bigint, embedding array<float>, metadata {METADATA}, document string"
@@ -34,9 +37,38 @@ def tagged(metadata: dict | None) -> dict | None:
     return out
 
 
-def untagged(metadata) -> dict:
+class Metadata(dict):
+    """The metadata of a record: a dict of scalars with typed readers that raise on a value of another kind."""
+
+    def _typed(self, key: str, kind: int):
+        if key not in self:
+            raise KeyError(key)
+        if W.kind_of(self[key]) != kind:
+            raise TypeError(f"{key} is of another kind")
+        return self[key]
+
+    def get_string(self, key: str) -> str:
+        return self._typed(key, STRING)
+
+    def get_int(self, key: str) -> int:
+        return self._typed(key, INTEGER)
+
+    def get_float(self, key: str) -> float:
+        return self._typed(key, FLOAT)
+
+    def get_bool(self, key: str) -> bool:
+        return self._typed(key, BOOLEAN)
+
+    def contains(self, key: str) -> bool:
+        return key in self
+
+    def count(self) -> int:
+        return len(self)
+
+
+def untagged(metadata) -> Metadata:
     slot = {STRING: "s", INTEGER: "i", FLOAT: "f", BOOLEAN: "b"}
-    return {k: v[slot[v["kind"]]] for k, v in (metadata or {}).items()}
+    return Metadata({k: v[slot[v["kind"]]] for k, v in (metadata or {}).items()})
 
 
 class Client:
@@ -66,8 +98,16 @@ def to_result_dict(found: DataFrame, n_queries: int) -> dict:
     return out
 
 
+#: Batches after which the written base takes in the tail.
+FOLD_BATCHES = 16
+
+
 class Collection:
-    """State is a DataFrame of the active records; each mutation batch is folded into it with a join on the touched ids.
+    """State is a written base of active records and a tail of mutation batches.
+
+    A mutation writes its own rows only. ``records`` folds the tail over the base: rows of the base that no batch touches are
+    read as they are, and the touched ids go through the mutation algebra. After ``FOLD_BATCHES`` batches the fold is written
+    as the new base; the base before it stays until the next, for results that are still to be read.
 
     ``M`` and ``ef_construction`` are checked and reported; the search is exact. A ``quantized`` collection scans one-byte
     codes and ranks the best max(ef_search, 2 k) by the vectors themselves.
@@ -78,11 +118,45 @@ class Collection:
         self.dimension, self.metric, self.quantized = check_dimension(dimension), check_metric(metric), quantized
         self.links, self.ef_construction, self.ef_search = check_links(M), check_ef("ef_construction", ef_construction), check_ef("ef_search", ef_search)
         self.identity = uuid.uuid4().hex
-        self.records: DataFrame = spark.createDataFrame([], STATE)
+        self._base: DataFrame = spark.createDataFrame([], STATE)
+        self._former: DataFrame | None = None
+        self._tail: list[DataFrame] = []
         self.sequence, self.next_internal, self.deleted = 0, 0, 0
+        self.epochs: dict[str, int] = {}
         self.log: store.Log | None = None
         self._index: bm25.TextIndex | None = None
 
+    def __repr__(self) -> str:
+        return f"Collection(name={self.name!r}, dimension={self.dimension}, metric={self.metric!r}, storage_kind={self.storage_kind!r}, sequence={self.sequence})"
+
+    @property
+    def storage_kind(self) -> str:
+        return "sq8" if self.quantized else "flat"
+
+    @property
+    def is_quantized(self) -> bool:
+        return self.quantized
+
+    @property
+    def records(self) -> DataFrame:
+        """The active records: id, internal_id, embedding, metadata, document."""
+        if not self._tail:
+            return self._base
+        tail = reduce(DataFrame.unionByName, self._tail)
+        touched = tail.select(F.col("id").alias("touched"))
+        same = F.col("id") == F.col("touched")
+        old = self._base.join(touched, same, "left_semi").select(F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("pos"), F.lit("add").alias("op"), *self._base.columns)
+        v = vectors.normalised(F.col("embedding")) if self.metric == "cosine" else F.col("embedding")
+        now = mutations.fold(old.unionByName(tail.withColumn("embedding", v)), ["metadata", "document"], latest=("embedding",))
+        now = now.withColumn("metadata", F.when(F.size("metadata") > 0, F.col("metadata"))).withColumn("document", F.nullif("document", F.lit("")))
+        return self._base.join(touched, same, "left_anti").unionByName(now.select(*self._base.columns))
+
+    def _rebase(self, rows: DataFrame) -> None:
+        """``rows`` are the state from now on."""
+        if self._former is not None:
+            drop_settled(self._former)
+        self._former, self._base, self._tail, self._index = self._base, rows, [], None
+
     # mutations
 
     def _batch(self, op: str, ids, embeddings=None, metadatas=None, documents=None) -> DataFrame:
@@ -111,62 +185,72 @@ class Collection:
         return self.spark.createDataFrame(data, ROW)
 
     def frame_batch(self, op: str, rows: DataFrame) -> DataFrame:
-        """A batch from a DataFrame with id, embedding and perhaps metadata (tagged map) and document, in the order of id."""
-        cols = dict(rows.dtypes)
-        meta = F.col("metadata").cast(METADATA) if "metadata" in cols else F.lit(None).cast(METADATA)
-        doc = F.col("document") if "document" in cols else F.lit(None).cast("string")
-        numbered = rows.withColumn("m", F.monotonically_increasing_id())
+        """A batch from a DataFrame with id, embedding and perhaps document, in the order of its partitions and rows.
+
+        Metadata are a column ``metadata`` (tagged map), or else all other scalar columns by their names; a NULL is a missing
+        field. A NULL document, or no metadata columns at all, supply none.
+        """
+        types = dict(rows.dtypes)
+        others = [c for c in rows.columns if c not in ("id", "embedding", "document", "metadata")]
+        if "metadata" in types:
+            meta = F.col("metadata").cast(METADATA)
+        else:
+            meta = packed({c: types[c] for c in others}) if others else F.lit(None).cast(METADATA)
+        doc = F.col("document").cast("string") if "document" in types else F.lit(None).cast("string")
+        numbered = rows.withColumn("__m", F.monotonically_increasing_id())
         return numbered.select(
-            F.lit(self.sequence + 1).cast("bigint").alias("seq"), F.col("m").alias("pos"), F.lit(op).alias("op"), F.col("id").cast("bigint").alias("id"),
+            F.lit(self.sequence + 1).cast("bigint").alias("seq"), F.col("__m").alias("pos"), F.lit(op).alias("op"), F.col("id").cast("bigint").alias("id"),
             F.col("embedding").cast("array<float>").alias("embedding"), meta.alias("metadata"), doc.alias("document"),
         )
 
-    def apply(self, op: str, batch: DataFrame, fault=store._no_fault) -> int:
-        """Check a batch against the state, commit it to the log if there is one, and fold it in. Returns its rows."""
+    def apply(self, op: str, batch: DataFrame, fault=store._no_fault, note: dict | None = None) -> int:
+        """Check a batch against the state, commit it to the log if there is one, and take it into the tail. Returns its rows.
+
+        An empty batch is none: it gets no sequence number.
+        """
         batch = settle(batch, "batch")
-        n, distinct, bad = batch.agg(
-            F.count("*"), F.countDistinct("id"),
-            F.count_if(F.col("embedding").isNotNull() & ((F.size("embedding") != self.dimension) | ~vectors.is_finite(F.col("embedding")))),
+        v = F.col("embedding")
+        bad = v.isNull() | (F.size(v) != self.dimension) | ~vectors.is_finite(v)
+        zero = v.isNotNull() & ~F.exists(v, lambda x: x != 0)
+        n, distinct, bad, zero, last = batch.agg(
+            F.count("*"), F.countDistinct("id"), F.count_if(F.coalesce(bad, F.lit(True))), F.count_if(F.coalesce(zero, F.lit(False))), F.max("pos"),
         ).first()
         if not n:
             return 0
         if op != "delete":
-            if bad or batch.where("embedding is null").limit(1).count():
+            if bad:
                 raise ValueError("vectors must be finite and of the collection's dimension")
+            if zero and self.metric == "cosine":
+                raise ValueError("the zero vector has no direction under cosine")
             if distinct != n:
-                raise ValueError("ids of a batch must be unique")
-            known = self.records.select("id").join(batch.select("id"), "id", "left_semi").count()
-            if op == "add" and known:
-                raise ValueError("add: an id exists already")
-            if op == "update" and known != n:
-                raise ValueError("update: an id doesn't exist")
-        if self.log is not None:
-            self.log.append(self.sequence + 1, batch, fault)
-        self._fold(op, batch, n)
-        return n
-
-    def _fold(self, op: str, batch: DataFrame, n: int) -> None:
-        before = self.records.count()
+                raise ValueError("ids of a batch must be there and unique")
+        known = self.records.select("id").join(batch.select("id"), "id", "left_semi").count()
+        if op == "add" and known:
+            raise ValueError("add: an id exists already")
+        if op == "update" and known != n:
+            raise ValueError("update: an id doesn't exist")
         if op == "delete":
-            now = self.records.join(batch.select("id"), "id", "left_anti")
-            now = settle(now, "state")
-            self.deleted += before - now.count()
+            placed = batch.withColumn("internal_id", F.lit(-1).cast("bigint"))
+        elif last == n - 1:  # already numbered from 0
+            placed = batch.withColumn("internal_id", F.col("pos") + self.next_internal)
         else:
-            v = vectors.normalised(F.col("embedding")) if self.metric == "cosine" else F.col("embedding")
-            order = mutations.compacted(batch.withColumn("internal_id", F.col("pos").cast("bigint")))
-            new = order.select("id", (F.col("internal_id") + self.next_internal).alias("internal_id"), v.alias("embedding"), "metadata", "document")
-            old = self.records.select(F.col("id").alias("oid"), F.col("metadata").alias("om"), F.col("document").alias("od"))
-            merged = new.join(old, F.col("id") == F.col("oid"), "left")
-            empty = lambda c: F.when(F.size(c) > 0, c)
-            merged = merged.select(
-                "id", "internal_id", "embedding", empty(F.coalesce("metadata", "om")).alias("metadata"),
-                F.nullif(F.coalesce("document", "od"), F.lit("")).alias("document"),
-            )
-            now = settle(self.records.join(batch.select("id"), "id", "left_anti").unionByName(merged), "state")
-            self.deleted += before + n - now.count()
-            self.next_internal += n
-        self.records, self._index = now, None
+            placed = numbered(batch, ["pos"], "internal_id", self.next_internal).withColumn("pos", F.col("internal_id") - self.next_internal)
+        placed = placed.select("seq", "pos", "op", "id", "internal_id", "embedding", "metadata", "document")
+        if self.log is not None:
+            self.log.append(self.sequence + 1, placed, fault, {"op": op, "rows": n, **(note or {})})
+        self._tail.append(placed)
+        self.deleted += known
+        self.next_internal += 0 if op == "delete" else n
         self.sequence += 1
+        self._index = None
+        self._noted(note or {})
+        if len(self._tail) >= FOLD_BATCHES:
+            self._rebase(settle(self.records, "state"))
+        return n
+
+    def _noted(self, note: dict) -> None:
+        if "source" in note:
+            self.epochs[note["source"]] = max(note["epoch"], self.epochs.get(note["source"], -1))
 
     def add(self, ids, embeddings, metadatas=None, documents=None) -> int:
         return self.apply("add", self._batch("add", ids, embeddings, metadatas, documents))
@@ -187,14 +271,15 @@ class Collection:
         return sum(self.apply(operation, self.frame_batch(operation, b)) for b in batches)
 
     def add_from(self, path: str, **options) -> int:
+        """Files as one batch. ``metadata_columns`` become typed metadata; an empty or missing document counts as none."""
         from .sources.readers import read_vectors
 
-        return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, **options)], "add")
+        return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, packed=True, **options)], "add")
 
     def upsert_from(self, path: str, **options) -> int:
         from .sources.readers import read_vectors
 
-        return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, **options)], "upsert")
+        return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, packed=True, **options)], "upsert")
 
     def add_numpy(self, ids, embeddings) -> int:
         from .sources.readers import from_arrays
@@ -207,17 +292,27 @@ class Collection:
         return self.ingest([from_arrays(self.spark, ids, embeddings)], "upsert")
 
     def add_mappings(self, rows: Iterable[dict], **options) -> int:
-        """Rows of any iterable, a streamed dataset split for one, batch by batch."""
+        """Rows of any iterable of dicts, batch by batch."""
         from .sources.readers import from_mappings
 
-        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, **options), "add")
+        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, packed=True, **options), "add")
 
     def upsert_mappings(self, rows: Iterable[dict], **options) -> int:
         from .sources.readers import from_mappings
 
-        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, **options), "upsert")
+        return self.ingest(from_mappings(self.spark, rows, dimension=self.dimension, packed=True, **options), "upsert")
+
+    def add_huggingface(self, dataset, split: str = "train", config: str | None = None, streaming: bool = True, load_kwargs: dict | None = None, **options) -> int:
+        """A split of a dataset by name (through the installed ``datasets`` package), or one that is already open."""
+        from .sources.readers import opened_dataset
+
+        return self.add_mappings(opened_dataset(dataset, split, config, streaming, load_kwargs), **options)
+
+    def upsert_huggingface(self, dataset, split: str = "train", config: str | None = None, streaming: bool = True, load_kwargs: dict | None = None, **options) -> int:
+        from .sources.readers import opened_dataset
+
+        return self.upsert_mappings(opened_dataset(dataset, split, config, streaming, load_kwargs), **options)
 
-    add_huggingface, upsert_huggingface = add_mappings, upsert_mappings
     add_with_metadata, upsert_with_metadata, update_with_metadata = add, upsert, update
     upsert_batch, upsert_batch_numpy = upsert, upsert_numpy
 
@@ -225,8 +320,8 @@ class Collection:
         """Renumber the active rows densely and forget the dead; a report of before and after."""
         before = self.stats()
         if self.deleted:
-            self.records = settle(mutations.compacted(self.records), "state")
-            self.next_internal, self.deleted = self.records.count(), 0
+            self._rebase(settle(mutations.compacted(self.records), "state"))
+            self.next_internal, self.deleted = self._base.count(), 0
         return {"before": before, "after": self.stats()}
 
     def compact_if_needed(self, ratio: float = 0.25) -> dict | None:
@@ -346,17 +441,22 @@ class Collection:
     def _settings(self) -> dict:
         return {
             "name": self.name, "dimension": self.dimension, "metric": self.metric, "quantized": self.quantized, "M": self.links, "ef_construction": self.ef_construction,
-            "ef_search": self.ef_search, "identity": self.identity, "sequence": self.sequence, "next_internal": self.next_internal, "deleted": self.deleted,
+            "ef_search": self.ef_search, "identity": self.identity, "sequence": self.sequence, "next_internal": self.next_internal, "deleted": self.deleted, "epochs": self.epochs,
         }
 
     def save(self, path: str, fault=store._no_fault) -> dict:
-        return store.write_generation(path, self.records, self._settings(), fault)
+        """Write a generation and read the state from it from now on."""
+        manifest = store.write_generation(path, self.records, self._settings(), fault)
+        index = self._index
+        self._rebase(self.spark.read.parquet(str(Path(path) / manifest["generation"])))
+        self._index = index
+        return manifest
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Collection:
         rows, m = store.read_generation(spark, path)
         c = cls(spark, m["name"], m["dimension"], m["metric"], m["quantized"], m["M"], m["ef_construction"], m["ef_search"])
-        c.records, c.identity, c.sequence, c.next_internal, c.deleted = rows, m["identity"], m["sequence"], m["next_internal"], m["deleted"]
+        c._base, c.identity, c.sequence, c.next_internal, c.deleted, c.epochs = rows, m["identity"], m["sequence"], m["next_internal"], m["deleted"], m.get("epochs", {})
         return c
 
     def snapshot(self, path: str) -> Collection:
@@ -364,8 +464,21 @@ class Collection:
         store.write_generation(path, self.records, self._settings() | {"keep_generations": True})
         return Collection.load(self.spark, path)
 
-    def enable_log(self, path: str) -> None:
-        self.log = store.Log(path, self.identity, self.sequence, create=True)
+    def enable_log(self, path: str, durability: int = store.SYNC) -> None:
+        """Commit each batch to ``path`` before it counts; ``durability``: store.ASYNC or store.SYNC."""
+        self.log = store.Log(path, self.identity, self.sequence, create=True, durability=durability)
+
+    @property
+    def log_enabled(self) -> bool:
+        return self.log is not None
+
+    @property
+    def log_sequence(self) -> int:
+        return self.sequence
+
+    def flush_log(self) -> None:
+        if self.log is not None:
+            self.log.flush()
 
     def disable_log(self) -> None:
         self.log = None
@@ -377,17 +490,27 @@ class Collection:
 
     @classmethod
     def recover(cls, spark: SparkSession, snapshot: str, log: str) -> Collection:
-        """The snapshot and all committed batches after it; a batch without its marker never happened."""
+        """The snapshot and all committed batches after it; a batch without its marker never happened.
+
+        The batches become the tail as they are; two counts settle how many rows are dead.
+        """
         c = cls.load(spark, snapshot)
         wal = store.Log(log, c.identity)
         rows = wal.read(spark, c.sequence)
         if rows is not None:
-            for seq in [s for s in wal.sequences() if s > c.sequence]:
-                batch = rows.where(F.col("seq") == seq)
-                first = batch.first()
-                if first is None:
-                    raise ValueError(f"the committed batch {seq} is empty")
-                c._fold(first.op, batch, batch.count())
+            notes = {s: x for s, x in wal.notes().items() if s > c.sequence}
+            got = {r.seq: r.n for r in rows.groupBy("seq").agg(F.count("*").alias("n")).collect()}
+            lost = [s for s in notes if got.get(s, 0) == 0 or got[s] != notes[s].get("rows", got[s])]
+            if lost:
+                raise ValueError(f"the committed batch {min(lost)} is damaged")
+            written = sum(n for s, n in got.items() if notes[s].get("op") != "delete")
+            before = c.count()
+            c._tail = [rows]
+            c.deleted += before + written - c.count()
+            c.next_internal, c.sequence = c.next_internal + written, max(notes)
+            for s in sorted(notes):
+                c._noted(notes[s])
+            c._rebase(settle(c.records, "state"))
         c.log = wal
         return c
 

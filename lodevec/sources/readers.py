@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import MAX_DIMENSION
+from ..types import between, BOOLEAN, FLOAT, INTEGER, MAX_DIMENSION, METADATA, METADATA_VALUE, STRING
 from ..util import numbered
 
 # Suffixes that name a format.
@@ -37,6 +36,7 @@ class ImportOptions:
     document_column: str | None = None
     metadata_columns: tuple[str, ...] | None = None
     id_start: int = 0
+    max_rows: int | None = None
     embeddings_key: str = "embeddings"
     ids_key: str = "ids"
     documents_key: str = "documents"
@@ -49,8 +49,31 @@ def infer_format(path: str) -> str:
     return FORMATS[suffix]
 
 
-def read_vectors(spark: SparkSession, path: str, options: ImportOptions | None = None, **how) -> DataFrame:
-    """Read ``path`` by its suffix or ``file_format``. A row that can't be coerced fails the read with a reason."""
+def tagged_value(c: Column, kind: str) -> Column:
+    """A scalar as a tagged metadata value."""
+    slots = {STRING: ("s", "string"), INTEGER: ("i", "bigint"), FLOAT: ("f", "double"), BOOLEAN: ("b", "boolean")}
+    number = {"string": STRING, "boolean": BOOLEAN, "float": FLOAT, "double": FLOAT}.get(kind, INTEGER)
+    parts = [F.lit(number).cast("tinyint").alias("kind")]
+    for slot, (name, to) in slots.items():
+        parts.append((c.cast(to) if slot == number else F.lit(None).cast(to)).alias(name))
+    return F.struct(*parts).cast(METADATA_VALUE)
+
+
+def packed(types: dict[str, str]) -> Column:
+    """Columns (name to Spark type) as one map of tagged values; a NULL is a missing field."""
+    bad = [c for c, t in types.items() if t not in SCALARS]
+    if bad:
+        raise ValueError(f"metadata column {bad[0]} is not scalar")
+    pairs = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(c).alias("key"), tagged_value(F.col(f"`{c}`"), t).alias("value"))) for c, t in types.items()]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull())).cast(METADATA)
+
+
+def read_vectors(spark: SparkSession, path: str, options: ImportOptions | None = None, packed: bool = False, **how) -> DataFrame:
+    """Read ``path`` by its suffix or ``file_format``. A row that can't be coerced fails the read with a reason.
+
+    The result is (id, embedding, document) and the metadata columns, or with ``packed`` a column ``metadata`` that holds
+    them as tagged values, so that no name can clash; a document column's NULL is then an empty text.
+    """
     o = options or ImportOptions(**how)
     form = o.file_format or infer_format(path)
     form = FORMATS.get(form)
@@ -59,7 +82,7 @@ def read_vectors(spark: SparkSession, path: str, options: ImportOptions | None =
     if form in ("csv", "tsv"):
         raw = spark.read.option("header", True).option("sep", "," if form == "csv" else "\t").option("mode", "FAILFAST").option("escape", '"').csv(path)
     elif form == "jsonl":
-        raw = spark.read.option("mode", "FAILFAST").json(path)
+        raw = _json_lines(spark, path)
     elif form == "json":
         raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
         if "data" in raw.columns and dict(raw.dtypes)["data"].startswith("array<struct"):
@@ -69,17 +92,39 @@ def read_vectors(spark: SparkSession, path: str, options: ImportOptions | None =
     elif form == "arrow":
         raw = _arrow(spark, path)
     elif form == "npz":
-        return _npz(spark, path, o)
+        return _npz(spark, path, o, packed)
     else:
         reader = {"npy": read_npy, "fvecs": read_fvecs, "ivecs": read_ivecs}[form]
-        out = reader(spark, path, o.id_start)
+        out = reader(spark, path, o.id_start, o.max_rows or 100_000_000)
         out = out.withColumn("embedding", F.col("embedding").cast("array<float>"))
         return _sized(out, o.dimension).withColumn("document", F.lit(None).cast("string"))
-    return mapped(raw, o)
+    return mapped(raw, o, packed)
+
+
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One object a line, blank lines skipped; a line that isn't one fails the read with its file and number."""
+    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
+    if "__bad" not in raw.columns:
+        return raw
+    schema = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in raw.schema) + ">"
+    line = numbered_lines(spark, path).select("file", "line_no", F.from_json("value", schema, {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    first = line.where(F.col("r.__bad").isNotNull()).orderBy("file", "line_no").first()
+    if first is None:
+        return raw.drop("__bad")
+    raise ValueError(f"{first.file}: line {first.line_no} is no JSON object")
+
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of text files with their numbers from 1 within the file."""
+    lines = numbered(spark.read.text(path).select("value", F.input_file_name().alias("file")), [], "n")
+    first = lines.groupBy(F.col("file").alias("of")).agg(F.min("n").alias("start"))
+    return lines.join(first, F.col("file") == F.col("of")).select("file", (F.col("n") - F.col("start") + 1).alias("line_no"), "value")
 
-def mapped(raw: DataFrame, o: ImportOptions) -> DataFrame:
+
+def mapped(raw: DataFrame, o: ImportOptions, pack: bool = False) -> DataFrame:
     """Coerce the columns of any DataFrame to a record."""
+    if o.max_rows is not None:
+        raw = raw.limit(o.max_rows)
     types = dict(raw.dtypes)
     lost = [c for c in (o.id_column, o.document_column, *(o.metadata_columns or ()), *(o.embedding_columns or (o.embedding_column,))) if c and c not in types]
     if lost:
@@ -96,6 +141,9 @@ def mapped(raw: DataFrame, o: ImportOptions) -> DataFrame:
         vector = embedding_of(F.col(o.embedding_column), types[o.embedding_column])
     document = F.nullif(F.col(o.document_column).cast("string"), F.lit("")) if o.document_column else F.lit(None).cast("string")
     meta = [F.col(c) for c in o.metadata_columns or ()]
+    if pack:
+        document = F.coalesce(document, F.lit("")) if o.document_column else document
+        meta = [packed({c: types[c] for c in o.metadata_columns}).alias("metadata")] if meta else []
     return _sized(raw.select(number.alias("id"), vector.alias("embedding"), document.alias("document"), *meta), o.dimension)
 
 
@@ -188,8 +236,27 @@ def read_npy(spark: SparkSession, path: str, id_start: int = 0, max_rows: int =
     return _binary(spark, path).mapInArrow(run, "id bigint, embedding array<float>")
 
 
-def _npz(spark: SparkSession, path: str, o: ImportOptions) -> DataFrame:
-    names = o.metadata_columns or ()
+def _npz_kinds(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, str]:
+    """Spark types of the named arrays of the first file; a task reads the headers, the driver sees only the types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(1).to_pylist():
+                z = np.load(io.BytesIO(content), allow_pickle=False)
+                kinds = {"i": "bigint", "u": "bigint", "f": "double", "b": "boolean"}
+                yield pa.RecordBatch.from_pydict({"name": [n for n in names if n in z], "kind": [kinds.get(z[n].dtype.kind, "string") for n in names if n in z]})
+
+    got = {r.name: r.kind for r in _binary(spark, path).limit(1).mapInArrow(run, "name string, kind string").collect()}
+    return {n: got.get(n, "string") for n in names}
+
+
+def _npz(spark: SparkSession, path: str, o: ImportOptions, pack: bool = False) -> DataFrame:
+    """Archives of named arrays. Metadata arrays keep their kind; it is that of the first file."""
+    names = tuple(o.metadata_columns or ())
+    kinds = _npz_kinds(spark, path, names)
+    arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    # numbers keep metadata columns apart from the record's own
+    schema = "id bigint, embedding array<float>, document string" + "".join(f", m{k} {kinds[n]}" for k, n in enumerate(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,14 +271,24 @@ def _npz(spark: SparkSession, path: str, o: ImportOptions) -> DataFrame:
                 ids = z[o.ids_key] if o.ids_key in z else np.arange(len(x)) + o.id_start
                 if not np.issubdtype(ids.dtype, np.integer):
                     raise ValueError(f"{name}: ids must be whole numbers")
-                docs = [str(d) or None for d in z[o.documents_key]] if o.documents_key in z else [None] * len(x)
-                meta = {k: pa.array([json.dumps(v.item() if hasattr(v, "item") else v) for v in z[k]], pa.string()) for k in names}
-                if any(len(c) != len(x) for c in (ids, docs, *meta.values())):
+                docs = [str(d) for d in z[o.documents_key]] if o.documents_key in z else [None] * len(x)
+                docs = docs if pack else [d or None for d in docs]
+                meta = [pa.array(z[k].tolist(), arrow[kinds[k]]) for k in names]
+                if any(len(c) != len(x) for c in (ids, docs, *meta)):
                     raise ValueError(f"{name}: arrays differ in length")
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids.astype(np.int64)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "document": pa.array(docs, pa.string()), **meta})
+                most = o.max_rows or len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids.astype(np.int64)), pa.array(list(x), pa.list_(pa.float32())), pa.array(docs, pa.string()), *meta],
+                    names=["id", "embedding", "document", *[f"m{k}" for k in range(len(names))]],
+                ).slice(0, most)
 
-    schema = "id bigint, embedding array<float>, document string" + "".join(f", `{n}` string" for n in names)
-    return _sized(_binary(spark, path).mapInArrow(run, schema), o.dimension)
+    rows = _sized(_binary(spark, path).mapInArrow(run, schema), o.dimension)
+    if not pack:
+        return rows.toDF("id", "embedding", "document", *names)
+    if not names:
+        return rows
+    pairs = [F.struct(F.lit(n).alias("key"), tagged_value(F.col(f"m{k}"), kinds[n]).alias("value")) for k, n in enumerate(names)]
+    return rows.select("id", "embedding", "document", F.map_from_entries(F.array(*pairs)).cast(METADATA).alias("metadata"))
 
 
 def _arrow(spark: SparkSession, path: str) -> DataFrame:
@@ -236,27 +313,100 @@ def _arrow(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).mapInArrow(run, schema)
 
 
-def read_numbers(spark: SparkSession, path: str, dimension: int, sep: str = ",", has_header: bool = True, id_start: int = 0) -> DataFrame:
-    """(id, embedding) of a purely numeric text file: no quoting, blank lines skipped, a wrong field count fails."""
+#: Largest text file of numbers that is accepted.
+MAX_FILE_BYTES = 1 << 40
+
+
+def read_numbers(
+    spark: SparkSession, path: str, dimension: int, sep: str = ",", has_header: bool = True, id_start: int = 0, max_rows: int = 100_000_000,
+) -> DataFrame:
+    """(id, embedding) of a purely numeric text file: no quoting, blank lines skipped, a wrong field count fails, and so do
+    more than ``max_rows`` rows or a file above MAX_FILE_BYTES."""
+    between("max_rows", max_rows, 1, 100_000_000)
+    if spark.read.format("binaryFile").load(path).where(F.col("length") > MAX_FILE_BYTES).select("path").limit(1).count():
+        raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes")
     lines = numbered(spark.read.text(path), [], "n")
     lines = lines.where(F.trim("value") != "") if not has_header else lines.where((F.trim("value") != "") & (F.col("n") > 0))
     parts = F.split(F.regexp_replace("value", "\r$", ""), F.lit("\t" if sep == "\t" else sep))
     values = F.transform(parts, lambda p: F.coalesce(F.trim(p).try_cast("float"), F.raise_error(F.lit("not a number")).cast("float")))
-    return _sized(numbered(lines.select(values.alias("embedding"), "n"), ["n"], "id", id_start).select("id", "embedding"), dimension)
+    rows = numbered(lines.select(values.alias("embedding"), "n"), ["n"], "id", id_start).select("id", "embedding")
+    over = F.raise_error(F.lit(f"more than {max_rows} rows")).cast("bigint")
+    return _sized(rows.withColumn("id", F.when(F.col("id") < id_start + max_rows, F.col("id")).otherwise(over)), dimension)
 
 
-def from_mappings(spark: SparkSession, rows: Iterable[dict], options: ImportOptions | None = None, batch_size: int = 8192, **how) -> Iterator[DataFrame]:
+def from_mappings(spark: SparkSession, rows: Iterable[dict], options: ImportOptions | None = None, batch_size: int = 8192, packed: bool = False, **how) -> Iterator[DataFrame]:
     """Any iterable of dicts, a streamed dataset split for one, as record DataFrames of up to ``batch_size`` rows."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     o = options or ImportOptions(**how)
-    it, start = iter(rows), o.id_start
+    it, start = iter(rows if o.max_rows is None else islice(rows, o.max_rows)), o.id_start
     while part := list(islice(it, batch_size)):
-        raw = spark.createDataFrame(pa.Table.from_pylist(part))
-        yield mapped(raw, ImportOptions(**{**o.__dict__, "id_start": start}))
+        keys = dict.fromkeys(k for r in part for k in r)  # a key may be missing in the first rows
+        raw = spark.createDataFrame(_table(part, list(keys)))
+        yield mapped(raw, ImportOptions(**{**o.__dict__, "id_start": start, "max_rows": None}), packed)
         start += len(part)
 
 
+def _table(part: list[dict], keys: list[str]) -> pa.Table:
+    columns = {}
+    for k in keys:
+        got = pa.array([r.get(k) for r in part])
+        columns[k] = got.cast(pa.string()) if pa.types.is_null(got.type) else got
+    return pa.table(columns)
+
+
+def opened_dataset(dataset, split: str = "train", config: str | None = None, streaming: bool = True, load_kwargs: dict | None = None) -> Iterable[dict]:
+    """The rows of a dataset's split: by name through the installed ``datasets`` package, or of an iterable or a mapping of
+    splits that is already open."""
+    if isinstance(dataset, str):
+        try:
+            from datasets import load_dataset
+        except ImportError as e:
+            raise ImportError("the package datasets is needed to open a dataset by name") from e
+        return load_dataset(dataset, config, split=split, streaming=streaming, **(load_kwargs or {}))
+    if isinstance(dataset, dict):
+        if split not in dataset:
+            raise ValueError(f"no split {split}")
+        return dataset[split]
+    return dataset
+
+
+class DatasetReader:
+    """A one-shot reader of one source; its rows go to a collection once."""
+
+    def __init__(self, how: str, source, options: dict):
+        self.how, self.source, self.options, self.used = how, source, options, False
+
+    def _go(self, collection, operation: str) -> int:
+        if self.used:
+            raise ValueError("the reader is used up")
+        dimension = self.options.get("dimension")
+        if dimension is not None and dimension != collection.dimension:
+            raise ValueError(f"the reader has {dimension} components, the collection {collection.dimension}")
+        self.used = True
+        options = {k: v for k, v in self.options.items() if k != "dimension"}
+        if self.how == "huggingface":
+            return getattr(collection, f"{operation}_huggingface")(self.source, **options)
+        return getattr(collection, f"{operation}_from")(self.source, file_format=self.how, **options)
+
+    def add_to(self, collection) -> int:
+        return self._go(collection, "add")
+
+    def upsert_to(self, collection) -> int:
+        return self._go(collection, "upsert")
+
+
+def _reader(how: str):
+    def make(source, **options) -> DatasetReader:
+        return DatasetReader(how, source, options)
+
+    make.__name__, make.__doc__ = f"read_{how}", f"A one-shot reader of {how} with the options of ``ImportOptions``."
+    return make
+
+
+read_json, read_jsonl, read_parquet, read_arrow, read_npz, read_huggingface = map(_reader, ("json", "jsonl", "parquet", "arrow", "npz", "huggingface"))
+
+
 def from_arrays(spark: SparkSession, ids: np.ndarray, embeddings: np.ndarray) -> DataFrame:
     """int64 ids and a float32 matrix, without a copy per value."""
     if ids.dtype != np.int64 or embeddings.dtype != np.float32 or embeddings.ndim != 2 or len(ids) != len(embeddings):
