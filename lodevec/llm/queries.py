@@ -56,13 +56,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     counted = _counted(spark, d)
-    mixed = mixture.mix(counted, mixture.balance(counted, table(spark, d, "mixture_targets")))
+    mixed = mixture.mix(counted, mixture.balance(counted, table(spark, d, "mixture_targets"), "shares"))
     return mixed.select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     counted = _counted(spark, d)
-    solved = mixture.balance(counted, table(spark, d, "mixture_targets"))
+    solved = mixture.balance(counted, table(spark, d, "mixture_targets"), "shares")
     return mixture.shares(mixture.mix(counted, solved), solved)
 
 

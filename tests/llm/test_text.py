@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodevec.functions.text import python_words
@@ -176,3 +177,31 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, " A ", "hello world"), (2, None, None), (3, "b", "")], "key bigint, source string, text string")
     got = {r.key: (r.source, r.tokens) for r in mixture.with_tokens(df, "key", "text", "source").collect()}
     assert got == {1: ("a", 2), 2: (None, 0), 3: ("b", 0)}
+
+
+def test_shares_of_the_mix_itself(spark):
+    """Sources that aren't short have their share of what is mixed, though others fall short or have nothing."""
+    rng = np.random.default_rng(4)
+    rows, n = [], 0
+    for source, docs in (("a", 400), ("b", 300), ("c", 200), ("low", 20), ("lower", 5)):
+        for _ in range(docs):
+            rows.append((n, source, int(rng.integers(20, 400))))
+            n += 1
+    plan = [("a", 1.0, 3), ("b", 3.0, 4), ("c", 2.0, 4), ("low", 2.0, 2), ("lower", 1.0, 1), ("none", 0.5, 5)]
+    c, t = counted(spark, rows), targets(spark, plan)
+    solved = mixture.balance(c, t, "shares")
+    mixed = mixture.mix(c, solved)
+    got = {r.source: r for r in mixture.shares(mixed, solved).collect()}
+    assert {s for s, r in got.items() if r.short} == {"low", "lower", "none"}
+    for s in "abc":
+        assert abs(got[s].actual_share / got[s].target_share - 1) < 0.01
+    caps = {s: k for s, _, k in plan}
+    assert all(r.copies <= caps[r.source] for r in mixed.collect())
+    every = {r.source: r.mixed_tokens for r in got.values()}
+    assert every["low"] == 2 * sum(t for _, s, t in rows if s == "low") and every["lower"] == sum(t for _, s, t in rows if s == "lower")
+    # nothing from the short ones: shares among the others
+    solved = mixture.balance(c, targets(spark, plan[:3] + plan[5:]), "shares")
+    got = {r.source: r.actual_share for r in mixture.shares(mixture.mix(c, solved), solved).collect()}
+    assert all(abs(got[s] - w / 6) < 0.002 for s, w in zip("abc", (1, 3, 2)))
+    with pytest.raises(ValueError):
+        mixture.balance(c, t, "other")
