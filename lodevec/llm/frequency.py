@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ def one_per_key(records: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary-encode the tokens of a block and accumulate two count arrays by local identifier."""
+    """Dictionary-encode the words of a block and accumulate two count arrays by local identifier."""
     local: dict[str, int] = {}
     occ, rec = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
     nonempty = 0
@@ -36,9 +35,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for b in batches:
-        tokens = pc.split_pattern(b.column(0), " ")
-        lengths = np.diff(tokens.offsets.to_numpy())
-        flat = tokens.values.dictionary_encode()
+        words = [T.python_words(t) for t in b.column(0).to_pylist()]
+        lengths = np.array([len(w) for w in words], np.int64)
+        flat = pa.array(chain.from_iterable(words), pa.string(), size=int(lengths.sum())).dictionary_encode()
         names = flat.dictionary.to_pylist()
         for name in names:
             local.setdefault(name, len(local))
@@ -47,13 +46,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = np.array([local[x] for x in names], np.int64)
         codes = flat.indices.to_numpy()
         rows = np.repeat(np.arange(len(lengths)), lengths)
-        present = np.array([bool(x) for x in names], bool)
-        keep = present[codes] if len(codes) else np.zeros(0, bool)
-        codes, rows = codes[keep], rows[keep]
-        np.add.at(occ, to, np.bincount(codes, minlength=len(names)))
+        occ[to] += np.bincount(codes, minlength=len(names))
         pairs = np.unique(rows * np.int64(max(len(names), 1)) + codes)
-        np.add.at(rec, to, np.bincount(pairs % max(len(names), 1), minlength=len(names)))
-        nonempty += len(np.unique(rows))
+        rec[to] += np.bincount(pairs % max(len(names), 1), minlength=len(names))
+        nonempty += np.count_nonzero(lengths)
         if len(local) > BLOCK_TERMS:
             yield flush()
             local.clear()
@@ -62,22 +58,54 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def term_frequencies(texts: DataFrame, column: str) -> DataFrame:
+def _by_range(span: int):
+    """Encoded counts (term_id, occ, rec) to arrays by identifier range: (range, ids, occ, rec), each id once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            sums = [np.zeros(len(ids), np.int64) for _ in range(2)]
+            for s, c in zip(sums, (1, 2)):
+                np.add.at(s, at, b.column(c).to_numpy())
+            ranges, start = np.unique(ids // span, return_index=True)
+            offsets = pa.array(np.r_[start, len(ids)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, *sums)]], names=["range", "ids", "occ", "rec"])
+
+    return run
+
+
+def _add(span: int):
+    """The terms of a range and the arrays of all blocks for it to one row a term."""
+
+    def run(key, terms, arrays):
+        start = key[0].as_py() * span
+        occ, rec = np.zeros(span, np.int64), np.zeros(span, np.int64)
+        at = arrays.column("ids").combine_chunks().flatten().to_numpy() - start
+        np.add.at(occ, at, arrays.column("occ").combine_chunks().flatten().to_numpy())
+        np.add.at(rec, at, arrays.column("rec").combine_chunks().flatten().to_numpy())
+        ids = terms.column("term_id").to_numpy()
+        return pa.table({"term_id": ids, "term": terms.column("term"), "occurrences": occ[ids - start], "records": rec[ids - start]})
+
+    return run
+
+
+def term_frequencies(texts: DataFrame, column: str, most_span: int = 1_000_000) -> DataFrame:
     """(term_id, term, occurrences, records, total): every word of ``column`` with its counts over all rows.
 
     ``total`` is the number of rows with at least one word. ``term_id`` numbers the sorted terms densely from 0: the terms
     are range partitioned and sorted, and each partition starts at the sum of the sizes of those before it (one count per
-    partition is all the driver sees). Blocks send (term, count) once per distinct term, are encoded against the
-    dictionary and summed by identifier range, so a term that stands in every row costs one row per block.
+    partition is all the driver sees). Blocks count into arrays by local identifier, are encoded against the dictionary, and
+    send arrays of identifiers and counts by identifier range; a task adds all arrays of a range, which spans ``most_span``
+    identifiers at most. A term that stands in every row costs one number per block.
 
     NULL, empty and wordless texts give no term; repeated rows count each; an empty table gives an empty result.
     """
     spark = texts.sparkSession
-    blocks = settle(
-        texts.select(T.spaced(F.col(column)).alias("s")).mapInArrow(_blocks, "term string, occ bigint, rec bigint"), "blocks"
-    )
+    blocks = settle(texts.select(F.col(column)).mapInArrow(_blocks, "term string, occ bigint, rec bigint"), "blocks")
     total = blocks.where(F.col("term").isNull()).agg(F.coalesce(F.sum("rec"), F.lit(0)).cast("bigint").alias("total"))
-    blocks = blocks.where(F.col("term") != "")
+    blocks = blocks.where(F.col("term").isNotNull())
     dictionary = settle(
         blocks.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
         .select("term", F.monotonically_increasing_id().alias("m")), "terms",
@@ -92,13 +120,11 @@ def term_frequencies(texts: DataFrame, column: str) -> DataFrame:
     ids = dictionary.join(F.broadcast(starts), part == F.col("p")).select(
         "term", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("term_id")
     )
-    span = max(1, -(-at // shuffle_parts(spark)))
-    summed = (
-        blocks.join(ids, "term")
-        .groupBy((F.col("term_id") / span).cast("bigint").alias("range"), "term_id", "term")
-        .agg(F.sum("occ").alias("occurrences"), F.sum("rec").alias("records"))
-    )
-    return summed.drop("range").crossJoin(F.broadcast(total))
+    span = max(1, min(most_span, -(-at // shuffle_parts(spark))))
+    arrays = blocks.join(ids, "term").select("term_id", "occ", "rec").mapInArrow(_by_range(span), "range bigint, ids array<bigint>, occ array<bigint>, rec array<bigint>")
+    terms = ids.withColumn("range", F.floor(F.col("term_id") / span))
+    summed = terms.groupBy("range").cogroup(arrays.groupBy("range")).applyInArrow(_add(span), "term_id bigint, term string, occurrences bigint, records bigint")
+    return summed.crossJoin(F.broadcast(total))
 
 
 def with_verdict(freq: DataFrame, rare_records: int = 2, common_share: float = 0.4) -> DataFrame:
