@@ -3,19 +3,23 @@
 The grammar is a small recursive descent over one file's text: ``file := record*``, ``record := field (sep field)* end``,
 ``field := quoted | plain``. A record that breaks the grammar does not swallow what follows: the parser resumes at the
 next *validated record start*, a line start from which a whole record of the header's width with a readable id parses.
-``parse_text`` applies it to whole files (quoted fields may hold line breaks), ``load_lines`` to tables of single lines.
+``parse_text`` and ``load_files`` apply it to whole files (quoted fields may hold line breaks), ``load_lines`` to tables of
+single lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..util import numbered_lines, settle
+
 # Reasons in the order in which the first that applies is given.
 REASONS = ("broken_quoting", "column_count", "bad_id", "bad_embedding", "wrong_dimension")
 SEPARATORS = {"csv": ",", "tsv": "\t"}
@@ -85,9 +89,13 @@ def _record(text: str, at: int, sep: str, ends: str) -> tuple[list[str], int]:
 
 def parse_id(field: str) -> int | None:
     field = field.strip()
-    if not _ID.fullmatch(field) or not -(2**63) <= (value := int(field)) < 2**63:
+    if not _ID.fullmatch(field):
+        return None
+    digits = field.lstrip("+-").lstrip("0")
+    if len(digits) > 19:  # beyond 64 bits, and int() refuses very long texts
         return None
-    return value
+    value = int(digits or "0") * (-1 if field[0] == "-" else 1)
+    return value if -(2**63) <= value < 2**63 else None
 
 
 def parse_embedding(field: str) -> list[float] | None:
@@ -146,9 +154,10 @@ def parse_text(text: str, sep: str, columns: list[str], dimension: int) -> Itera
     """The records of a whole file without its header. Quoted fields may span lines.
 
     A record that opens a quote and closes it only after a line start at which a sound record begins is taken as broken
-    at its own first line: otherwise one lost quote would turn the rest of a file into one field.
+    at its own first line: otherwise one lost quote would turn the rest of a file into one field. So each such line start,
+    an anchor, begins a record whatever stands before it, and a text may be cut at any of them.
     """
-    at = 0
+    at, anchors = 0, Anchors(text, sep, columns)
     while at < len(text):
         end = _line_end(text, at)
         line = text[at:end]
@@ -158,13 +167,13 @@ def parse_text(text: str, sep: str, columns: list[str], dimension: int) -> Itera
         try:
             fields, stop = _record(text, at, sep, "\r\n")
             record = Record(at, stop, fields)
-            if stop > end and _anchor(text, end + 1, stop, sep, columns) is not None:
+            if stop > end and anchors.first(end + 1, stop) is not None:
                 raise GrammarError(at)
             if len(fields) != len(columns) and stop > end:
                 raise GrammarError(at)
         except GrammarError as e:
             record = Record(at, end, None, "broken_quoting", e.position)
-            anchor = _anchor(text, end + 1, len(text), sep, columns)
+            anchor = anchors.first(end + 1, len(text))
             record.end = stop = len(text) if anchor is None else anchor
             # lines between the break and the anchor belong to no sound record: each is reported by itself
             if anchor is None or anchor > end + 1:
@@ -175,21 +184,34 @@ def parse_text(text: str, sep: str, columns: list[str], dimension: int) -> Itera
             at += 1
 
 
-def _anchor(text: str, at: int, limit: int, sep: str, columns: list[str]) -> int | None:
-    """The first line start in [at, limit) from which a sound record of this file parses."""
+class Anchors:
+    """The line starts of a text from which a sound record of its file parses; each stretch is searched once."""
+
+    def __init__(self, text: str, sep: str, columns: list[str]):
+        self.text, self.sep, self.columns = text, sep, columns
+        self.seen, self.found = 0, -1  # no anchor lies in [seen, found)
+
+    def first(self, at: int, limit: int) -> int | None:
+        """The first anchor in [at, limit)."""
+        if not self.seen <= at <= self.found:
+            self.seen, self.found = at, at
+            while self.found < len(self.text) and not sound_start(self.text, self.found, self.sep, self.columns):
+                self.found = _line_end(self.text, self.found) + 1
+        return self.found if self.found < min(limit, len(self.text)) else None
+
+
+def sound_start(text: str, at: int, sep: str, columns: list[str]) -> bool:
+    """Whether a record of the header's width with a readable id starts at ``at``."""
     place = columns.index("id") if "id" in columns else None
-    while at < limit:
-        try:
-            fields, _ = _record(text, at, sep, "\r\n")
-            if len(fields) == len(columns) and (place is None or parse_id(fields[place]) is not None):
-                return at
-        except GrammarError:
-            pass
-        at = _line_end(text, at) + 1
-    return None
+    try:
+        fields, _ = _record(text, at, sep, "\r\n")
+    except GrammarError:
+        return False
+    return len(fields) == len(columns) and (place is None or parse_id(fields[place]) is not None)
 
 
-_PARSED = "id bigint, embedding array<float>, fields array<string>, reason string, error_at int, blank boolean"
+_FIELDS = ["id", "embedding", "fields", "reason", "error_at"]
+_PARSED = "id bigint, embedding array<float>, fields array<string>, reason string, error_at int"
 
 
 def load_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -209,37 +231,92 @@ def load_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     ).dropDuplicates(["_file"])
     joined = lines.select("row_id", "file_id", "line_no", "raw_line").join(f, F.col("file_id") == F.col("_file"), "left")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers: dict[str, list[str]] = {}
         for b in batches:
-            out = []
-            for line, form, header, dim in zip(b.raw_line, b._format, b.header_columns, b.dimension):
-                if not isinstance(line, str):
-                    out.append((None, None, None, None, None, True))
-                    continue
-                sep = SEPARATORS.get(form) if isinstance(form, str) else None
-                if sep is None or not isinstance(header, str) or dim != dim:
-                    blank = not line.strip()
-                    out.append((None, None, None, None if blank else "unknown_file", None, blank))
+            at, got = [], []
+            for i, (line, form, header, dim) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3, 7)))):
+                if line is None or not line.strip():
                     continue
-                columns = headers.get(header)
-                if columns is None:
-                    columns = headers[header] = [c.strip() for c in header.split(",")]
-                r = parse_line(line, sep, columns, int(dim))
-                if r is None:
-                    out.append((None, None, None, None, None, True))
-                elif r.reason:
-                    out.append((None, None, r.fields, r.reason, r.position, False))
+                sep = SEPARATORS.get(form)
+                if sep is None or header is None or dim is None:
+                    r = Record(0, len(line), None, "unknown_file")
                 else:
-                    out.append((r.id, r.embedding, r.fields, None, None, False))
-            got = pd.DataFrame(out, columns=["id", "embedding", "fields", "reason", "error_at", "blank"])
-            got["id"], got["error_at"] = got["id"].astype("Int64"), got["error_at"].astype("Int32")
-            got["id"] = pd.array([x[0] for x in out], dtype="Int64")
-            keys = b[["row_id", "file_id", "line_no"]].reset_index(drop=True)
-            yield pd.concat([keys, got], axis=1)
+                    columns = headers.get(header)
+                    if columns is None:
+                        columns = headers[header] = [c.strip() for c in header.split(",")]
+                    r = parse_line(line, sep, columns, dim)
+                    if r is None:
+                        continue
+                at.append(i)
+                got.append(r)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in range(3)), *_arrays(got)], names=["row_id", "file_id", "line_no", *_FIELDS])
+
+    return joined.select("row_id", "file_id", "line_no", "raw_line", "_format", "header_columns", "dimension").mapInArrow(parse, f"row_id bigint, file_id bigint, line_no int, {_PARSED}")
+
+
+def _arrays(records: list[Record]) -> list[pa.Array]:
+    sound = [r.reason is None for r in records]
+    return [
+        pa.array([r.id if ok else None for r, ok in zip(records, sound)], pa.int64()),
+        pa.array([r.embedding if ok else None for r, ok in zip(records, sound)], pa.list_(pa.float32())),
+        pa.array([r.fields for r in records], pa.list_(pa.string())),
+        pa.array([r.reason for r in records], pa.string()),
+        pa.array([r.position for r in records], pa.int32()),
+    ]
+
+
+def load_files(lines: DataFrame, files: DataFrame, stretch: int = 20_000) -> DataFrame:
+    """Parse whole files whose quoted fields may hold line breaks, from their lines.
+
+    ``lines``: file_id, line_no, raw_line; ``files`` as for ``load_lines``. Result: file_id, line_no (of the record's first
+    line), lines (how many it takes), id, embedding, fields, reason, error_at (within the record).
+
+    A file is cut at anchors, lines that are a sound record by themselves, the first in every ``stretch`` lines; as an anchor
+    begins a record in any case, the pieces give what the whole file does, and a file of any length takes many tasks. A
+    stretch without such a line goes with the one before. The place of the cuts is found in a table of one row a stretch.
+
+    Defined cases: NULL lines count as empty ones; blank lines outside quotes give no row; lines of a file that ``files``
+    lacks, or that has no format or header, give one row each with the reason ``unknown_file``; of lines with one number
+    the smallest text comes first; empty tables give an empty result; other columns are ignored.
+    """
+    f = files.select(F.col("file_id").alias("_file"), F.lower(F.trim("file_format")).alias("_format"), "header_columns", "dimension").dropDuplicates(["_file"])
+    rows = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("raw_line", F.lit("")).alias("raw_line"))
+    rows = rows.join(f, F.col("file_id") == F.col("_file"), "left").drop("_file")
+    names = rows.columns
 
-    schema = f"row_id bigint, file_id bigint, line_no int, {_PARSED}"
-    return joined.mapInPandas(parse, schema).where(~F.col("blank")).drop("blank")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            line, form, header = (b.column(names.index(c)).to_pylist() for c in ("raw_line", "_format", "header_columns"))
+            sound = [bool(x) and fm in SEPARATORS and h is not None and sound_start(x, 0, SEPARATORS[fm], [c.strip() for c in h.split(",")]) for x, fm, h in zip(line, form, header)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sound, pa.bool_())], names=[*names, "anchor"])
+
+    marked = settle(rows.mapInArrow(mark, ", ".join(f"{c} {t}" for c, t in [*rows.dtypes, ("anchor", "boolean")])).withColumn("stretch", F.floor(F.col("line_no") / stretch)), "marked")
+    cuts = marked.groupBy("file_id", "stretch").agg(F.min(F.when(F.col("anchor"), F.col("line_no"))).alias("cut"))
+    before = F.last("cut", ignorenulls=True).over(Window.partitionBy("file_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = cuts.withColumn("former", F.coalesce(before, F.lit(-1).cast("bigint"))).withColumnsRenamed({"file_id": "cf", "stretch": "cs"})
+    pieces = marked.join(cuts, F.col("file_id").eqNullSafe(F.col("cf")) & (F.col("stretch") == F.col("cs")))
+    pieces = pieces.withColumn("piece", F.when(F.col("line_no") >= F.col("cut"), F.col("cut")).otherwise(F.col("former")))
+
+    def parse(key, t):
+        t = t.sort_by([("line_no", "ascending"), ("raw_line", "ascending")])
+        numbers, raw = t.column("line_no").to_pylist(), t.column("raw_line").to_pylist()
+        form, header, dim = (t.column(c)[0].as_py() for c in ("_format", "header_columns", "dimension"))
+        if form not in SEPARATORS or header is None or dim is None:
+            at = [i for i, x in enumerate(raw) if x.strip()]
+            got = [Record(0, len(raw[i]), None, "unknown_file") for i in at]
+            first, taken = [numbers[i] for i in at], [1] * len(at)
+        else:
+            starts = np.cumsum([0, *(len(x) + 1 for x in raw)])
+            got = list(parse_text("\n".join(raw), SEPARATORS[form], [c.strip() for c in header.split(",")], dim))
+            place = np.searchsorted(starts, [r.start for r in got], "right") - 1
+            last = np.searchsorted(starts, [max(r.start, r.end - 1) for r in got], "right") - 1
+            first, taken = [numbers[i] for i in place], (last - place + 1).tolist()
+            got = [replace(r, position=None if r.position is None else r.position - r.start) for r in got]
+        file = pa.array([key[0].as_py()] * len(got), pa.int64())
+        return pa.Table.from_arrays([file, pa.array(first, pa.int64()), pa.array(taken, pa.int32()), *_arrays(got)], names=["file_id", "line_no", "lines", *_FIELDS])
+
+    return pieces.select(*names, "piece").groupBy("file_id", "piece").applyInArrow(parse, f"file_id bigint, line_no bigint, lines int, {_PARSED}")
 
 
 def loaded(parsed: DataFrame) -> DataFrame:
@@ -250,22 +327,18 @@ def failed(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select("row_id", "reason")
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str, dimension: int) -> DataFrame:
-    """Whole files with a header line: one row per record with its file, place, id, embedding, fields and reason."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, text in zip(b.file, b.value):
-                head, _, body = text.partition("\n")
-                columns = [c.strip() for c in _record(head.rstrip("\r"), 0, sep, "")[0]]
-                rows = [
-                    (file, r.start, r.id, r.embedding, r.fields, r.reason) for r in parse_text(body, sep, columns, dimension)
-                ]
-                out = pd.DataFrame(rows, columns=["file", "place", "id", "embedding", "fields", "reason"])
-                out["id"] = pd.array([r[2] for r in rows], dtype="Int64")
-                yield out
-
-    return whole.mapInPandas(
-        parse, "file string, place bigint, id bigint, embedding array<float>, fields array<string>, reason string"
-    )
+def read_delimited(spark: SparkSession, path: str, sep: str, dimension: int, stretch: int = 20_000) -> DataFrame:
+    """Whole files with a header line: one row per record with its file, line_no (the header is line 1), lines, id,
+    embedding, fields, reason and error_at. The header may not hold line breaks. Files are read in splits."""
+    names = {v: k for k, v in SEPARATORS.items()}
+    rows = numbered_lines(spark, path)
+    heads = rows.where("line_no = 1").select("file", F.xxhash64("file").alias("file_id"), "value").collect()
+    files = []
+    for r in heads:
+        columns = [c.strip() for c in _record(r.value.rstrip("\r"), 0, sep, "")[0]]
+        files.append((r.file_id, names[sep], ",".join(columns), dimension))
+    schema = "file_id bigint, file_format string, header_columns string, dimension int"
+    body = rows.where("line_no > 1").select(F.xxhash64("file").alias("file_id"), "line_no", F.col("value").alias("raw_line"))
+    got = load_files(body, spark.createDataFrame(files, schema), stretch)
+    at = spark.createDataFrame([(r.file_id, r.file) for r in heads], "of bigint, file string")
+    return got.join(F.broadcast(at), F.col("file_id") == F.col("of")).select("file", "line_no", "lines", *_FIELDS)

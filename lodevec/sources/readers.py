@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import between, BOOLEAN, FLOAT, INTEGER, MAX_DIMENSION, METADATA, METADATA_VALUE, STRING
-from ..util import numbered
+from ..util import numbered, numbered_lines
 
 # Suffixes that name a format.
 FORMATS = {
@@ -114,13 +114,6 @@ def _json_lines(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{first.file}: line {first.line_no} is no JSON object")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): the lines of text files with their numbers from 1 within the file."""
-    lines = numbered(spark.read.text(path).select("value", F.input_file_name().alias("file")), [], "n")
-    first = lines.groupBy(F.col("file").alias("of")).agg(F.min("n").alias("start"))
-    return lines.join(first, F.col("file") == F.col("of")).select("file", (F.col("n") - F.col("start") + 1).alias("line_no"), "value")
-
-
 def mapped(raw: DataFrame, o: ImportOptions, pack: bool = False) -> DataFrame:
     """Coerce the columns of any DataFrame to a record."""
     if o.max_rows is not None:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,5 +80,31 @@ def test_load_lines(spark):
 
 def test_read_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,embedding\n1,"1,2"\n2,"1,2\n3,1 2\n')
-    got = D.read_delimited(spark, str(tmp_path / "a.csv"), ",", 2).orderBy("place").collect()
+    got = D.read_delimited(spark, str(tmp_path / "a.csv"), ",", 2).orderBy("line_no").collect()
     assert [(r.id, r.reason) for r in got] == [(1, None), (None, "broken_quoting"), (3, None)]
+
+
+def test_very_long_ids(spark):
+    assert D.parse_id("9" * 5000) is None and D.parse_id("-" + "0" * 5000 + "17") == -17 and D.parse_id("+0") == 0
+    assert D.parse_id(str(2**63 - 1)) == 2**63 - 1 and D.parse_id(str(2**63)) is None and D.parse_id(str(-(2**63))) == -(2**63)
+    files = spark.createDataFrame([(1, "csv", "id,embedding", 2)], "file_id bigint, file_format string, header_columns string, dimension int")
+    lines = spark.createDataFrame([(1, 1, 2, "9" * 5000 + ",1 2")], "row_id bigint, file_id bigint, line_no int, raw_line string")
+    assert [r.reason for r in D.load_lines(lines, files).collect()] == ["bad_id"]
+
+
+@pytest.mark.parametrize("stretch", [3, 17, 10_000])
+def test_files_in_pieces_as_in_one(spark, stretch):
+    """Cutting a file at anchors changes nothing, whatever the quotes do around the cuts."""
+    rng = random.Random(8)
+    kinds = ['{n},"1,2",note', '{n},"1,2","two\nlines"', '{n},"1,2","three\n\n lines"', '{n},"1,2,lost', '{n},"1,2","open', "", "  ", '{n},1 2', 'x,1 2,d', '{n},"1,2,3",d', 'tail",{n},"', '"', '{n},1 2,d\r']
+    text = "\n".join(rng.choice(kinds).format(n=n) for n in range(300))
+    columns = ["id", "embedding", "note"]
+    want = [(text.count("\n", 0, r.start) + 2, r.id if r.reason is None else None, r.fields, r.reason) for r in D.parse_text(text, ",", columns, 2)]
+    lines = [(1, k + 2, x, "more") for k, x in enumerate(text.split("\n"))] + [(2, 2, "5\t1 2", "more"), (3, 2, "x", "more"), (2, 3, None, "more")]
+    rng.shuffle(lines)
+    files = spark.createDataFrame([(1, "csv", ",".join(columns), 2), (2, "tsv", "id,embedding", 2)], "file_id bigint, file_format string, header_columns string, dimension int")
+    rows = spark.createDataFrame(lines, "file_id bigint, line_no int, raw_line string, piece string")
+    got = D.load_files(rows, files, stretch).orderBy("file_id", "line_no").collect()
+    assert [(r.line_no, r.id, r.fields, r.reason) for r in got if r.file_id == 1] == want
+    assert [(r.id, r.reason) for r in got if r.file_id > 1] == [(5, None), (None, "unknown_file")]
+    assert D.load_files(rows.limit(0), files.limit(0)).count() == 0
