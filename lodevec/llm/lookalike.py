@@ -13,20 +13,44 @@ from pyspark.sql import functions as F
 
 from ..util import md5_long, settle
 
-# Letters that look like a Latin letter, by that letter. Only letters that are no composition are listed:
-# accents are taken off before the comparison and composed again after it.
+# Letters that look like a Latin letter, by that letter, of Cyrillic, Greek, Armenian, Latin extensions, Cherokee
+# and Lisu, as in published tables of confusable characters. Only letters that are no composition are listed: accents are taken
+# off before the comparison and composed again after it. Compatibility letters and small capitals follow by rule.
 LOOKALIKES = """
-a:аɑα c:сϲ d:ԁ e:е g:ɡց h:һհ i:іι j:јϳ l:ӏ n:ո o:оοօ p:рρ q:ԛզ s:ѕ u:υս v:νѵ w:ԝ x:хⅹ y:уүγ
-A:АΑ B:ВΒ C:СϹ E:ЕΕ F:Ϝ G:Ԍ H:НΗ I:ІΙӀ J:ЈͿ K:КΚ M:МΜϺ N:Ν O:ОΟՕ P:РΡ Q:Ԛ S:ЅՏ T:ТΤ U:Ս V:Ѵ W:Ԝ X:ХΧ Y:УΥҮ Z:Ζ
+a:аɑα b:Ꮟ c:сϲ d:ԁᏧ e:е g:ɡց h:һհᏂ i:іιᎥ j:јϳ k:кκ l:ӏ n:ո o:оοօ p:рρ q:ԛզ s:ѕ u:υս v:νѵ w:ԝ x:хⅹ y:уүγᎩ
+A:АΑᎪꓮ B:ВΒᏴꓐ C:СϹᏟꓚ D:Ꭰꓓ E:ЕΕᎬꓰ F:Ϝꓝ G:ԌᏀꓖ H:НΗᎻꓧ I:ІΙӀꓲ J:ЈͿᎫꓙ K:КΚᏦꓗ L:Ꮮꓡ M:МΜϺᎷꓟ N:Νꓠ O:ОΟՕꓳ P:РΡᏢꓑ Q:Ԛ R:ᎡᏒꓣ S:ЅՏᏚꓢ
+T:ТΤᎢꓔ U:Սꓴ V:ѴᏙꓦ W:ԜᎳꓪ X:ХΧꓫ Y:УΥҮꓬ Z:ΖᏃꓜ
 """
+# Small capitals that look like the small letter; the others look like the capital.
+SMALL_CAPITALS_AS_SMALL = "COSUVWXZ"
 # Characters without width.
 ZERO_WIDTH = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff" + "".join(
     map(chr, range(0xFE00, 0xFE10))
 )
 
-PROTOTYPE = {c: g[0] for g in LOOKALIKES.split() for c in g[2:]}
+def _small_capitals() -> dict[str, str]:
+    """By the characters' names."""
+    out = {}
+    for c in map(chr, [*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800)]):
+        m = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(c, ""))
+        if m:
+            out[c] = m[1].lower() if m[1] in SMALL_CAPITALS_AS_SMALL else m[1]
+    return out
+
+
+def _compatible() -> dict[str, str]:
+    """Letters and digits in another font, ligatures and letter-like numerals, by their compatibility decompositions."""
+    out = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        kind = unicodedata.decomposition(c).split(" ", 1)[0]
+        if kind == "<font>" or (kind == "<compat>" and ("LIGATURE" in unicodedata.name(c, "") or "ROMAN NUMERAL" in unicodedata.name(c, ""))):
+            out[c] = unicodedata.normalize("NFKC", c)
+    return out
+
+
+PROTOTYPE = {c: g[0] for g in LOOKALIKES.split() for c in g[2:]} | _small_capitals()
 _SPACES = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Zs" and c != 0x20)
-_WIDE = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if chr(c) not in ZERO_WIDTH}
+_WIDE = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if chr(c) not in ZERO_WIDTH} | _compatible()
 _BASE = str.maketrans({**_WIDE, **dict.fromkeys(_SPACES, " "), **dict.fromkeys(ZERO_WIDTH, "")})
 _FOLD = str.maketrans(PROTOTYPE)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,14 +74,16 @@ def _variants() -> dict[str, dict[int, str]]:
 VARIANTS = _variants()
 
 
-_TRANSLATED = re.compile("[" + "".join(map(re.escape, map(chr, _BASE))) + "]")
+#: Beyond the basic plane one range stands for all of them: a pattern tests listed characters there one by one.
+_TRANSLATED = re.compile("[" + "".join(re.escape(chr(c)) for c in _BASE if c < 0x10000) + "]|[\U0001d400-\U0001ffff]")
 #: All look-alikes and the blocks of their scripts, Greek and Coptic to Armenian with extensions and supplements: a text
 #: without any of these characters is its own fold.
 _SUSPECT = re.compile("[\u0370-\u058f\u1c80-\u1c8f\u1d26-\u1d2b\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f" + "".join(PROTOTYPE) + "]")
 
 
 def base_form(text: str) -> str:
-    """Ordinary width, composed accents, no zero-width characters, blanks for all spaces (line breaks and tabs stay)."""
+    """Ordinary width and font, composed accents, no ligatures and zero-width characters, blanks for all spaces (line breaks
+    and tabs stay)."""
     if text.isascii():
         return text
     return unicodedata.normalize("NFC", text.translate(_BASE) if _TRANSLATED.search(text) else text)

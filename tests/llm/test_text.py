@@ -205,3 +205,16 @@ def test_shares_of_the_mix_itself(spark):
     assert all(abs(got[s] - w / 6) < 0.002 for s, w in zip("abc", (1, 3, 2)))
     with pytest.raises(ValueError):
         mixture.balance(c, t, "other")
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("𝐩𝐚𝐲𝐩𝐚𝐥", "paypal"), ("ﬁne", "fine"), ("кeep", "keep"), ("ꓐꓮꓔ", "BAT"), ("ᎪᏴ", "AB"), ("ᴄᴏꜱᴛ", "cosT"), ("Ⅻ", "XII"), ("ａ𝟙", "a1")],
+)
+def test_letters_of_other_tables(a, b):
+    assert lookalike.consistent_form(a) == lookalike.consistent_form(b) != lookalike.consistent_form(b + "x")
+
+
+def test_script_is_kept_where_it_shows():
+    assert lookalike.consistent_form("привет") == "привет" and lookalike.consistent_form("скажи") == "скажи"
+    assert lookalike.consistent_form("Case") != lookalike.consistent_form("case")
