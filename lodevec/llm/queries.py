@@ -112,6 +112,12 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def p6_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that say what an item says, in part in other words."""
+    got = leakage.paraphrases(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return got.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *[F.round(c, 6).alias(c) for c in ("cosine", "in_order", "answered")])
+
+
 def _linked(spark: SparkSession, d: str, **how) -> DataFrame:
     return clusters.linked(table(spark, d, "import_records"), "id", "embedding", **how)
 
@@ -140,6 +146,7 @@ QUERIES = {
     "p3_clusters": p3_clusters,
     "p6_found": p6_found,
     "p6_items": p6_items,
+    "p6_paraphrases": p6_paraphrases,
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p4_found": p4_found,

@@ -218,3 +218,51 @@ def test_letters_of_other_tables(a, b):
 def test_script_is_kept_where_it_shows():
     assert lookalike.consistent_form("привет") == "привет" and lookalike.consistent_form("скажи") == "скажи"
     assert lookalike.consistent_form("Case") != lookalike.consistent_form("case")
+
+
+def test_paraphrases(spark):
+    """Items with a foreign word after every few of theirs, or two clauses in another order, share no run of 12 words."""
+    rng = np.random.default_rng(9)
+    words = [f"name{i}" for i in range(400)] + ["the", "of", "a", "in", "keeps", "after"] * 30
+    items = [(k, " ".join(rng.choice(words, 36))) for k in range(25)]
+    docs, want = [], set()
+    for n in range(300):
+        filler = [f"filler{i}" for i in rng.integers(0, 900, 60)]
+        if n < 60:
+            k = n % 25
+            w = items[k][1].split()
+            if n % 3 == 0:
+                w = w[18:] + w[:18]
+            w = [x for j, y in enumerate(w) for x in ([y, f"other{n}"] if j % 6 == 5 else [y])]
+            docs.append((n, " ".join(filler[:20] + w + filler[20:])))
+            want.add((n, k))
+        else:
+            docs.append((n, " ".join(filler + list(rng.choice(words, 5)))))
+    docs += [(900, None), (901, ""), (902, "word"), (None, items[3][1])]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items + [(77, None), (78, "")], "item_id bigint, text string")
+    assert leakage.leaks(d.where("doc_id is not null"), "doc_id", "text", i, "item_id", "text").count() == 0
+    rows = leakage.paraphrases(d, "doc_id", "text", i, "item_id", "text").collect()
+    got = {(r.doc, r.item) for r in rows}
+    assert got == want | {(None, 3)}
+    assert all(r.cosine >= 0.6 and r.in_order >= 0.6 and r.answered >= 0.75 for r in rows)
+    assert leakage.paraphrases(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
+    assert leakage.paraphrases(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = rng.integers(-1, 5, 12), rng.integers(0, 5, 9)
+        t = np.zeros((13, 10), int)
+        for x in range(12):
+            for y in range(9):
+                t[x + 1, y + 1] = t[x, y] + 1 if a[x] == b[y] else max(t[x, y + 1], t[x + 1, y])
+        assert leakage.common_subsequence(a, b) == t[-1, -1]
+
+
+def test_items_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b c d e f{k % 3} g h i j") for k in range(9)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, f"c d e f{k} g h") for k in range(3)], "item_id bigint, text string")
+    want = {tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", run=6).collect()}
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 15)
+    assert want == {tuple(r) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", run=6).collect()} and len(want) == 9
