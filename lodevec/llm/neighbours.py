@@ -11,12 +11,20 @@ from ..util import settle
 
 #: Rows of a collection that one task searches; larger collections are split at coarse centroids.
 BLOCK_ROWS = 32_768
-#: Rows of a large collection from which its coarse centroids are fitted, and most rows from which a block's codebooks are.
+#: Rows from which coarse centroids and codebooks are fitted, and queries by which the depth of a search is measured.
 FIT_ROWS = 20_000
-#: Most coarse centroids that are sent to the executors (128 bytes each at 32 dimensions); larger inputs get larger blocks.
-MAX_CENTROIDS = 100_000
+SAMPLE_QUERIES = 128
+BORDER_QUERIES = 256
+#: Components of coarse centroids that are sent to the executors (32 MB); beyond them blocks are larger.
+CENTROID_COMPONENTS = 8_000_000
+#: Centroids that a row is compared with; where there are more, those around the nearest of a coarser level.
+NEAR_CENTROIDS = 512
+#: Most repeated vectors that are broadcast, by their hashes.
+MOST_HEAVY = 100_000
+#: A block of so few rows is compared in full.
+EXACT_ROWS = 512
 #: Rows that every query scans at least, as far as its block has them.
-LEAST_PROBED = 4_500
+LEAST_SCANNED = 4_500
 #: A vector repeated more often than this share of a block within one collection leaves the search: see ``knn``.
 HEAVY_SHARE = 8
 
@@ -121,14 +129,14 @@ class AnisotropicCodes:
         return out.reshape(len(rows), -1)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, probe: float, rerank: int):
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, aim: float = 0.99, rerank: int = 128):
     """(query row, found row, squared distance) arrays: up to k rows for each query, without the query's own id.
 
     Equal vectors are one entry of the index and equal queries one search, so that copies neither crowd out other rows nor
     each other. The nearest k + 1 entries hold the nearest k rows of other ids, whatever id the query has itself.
     """
     n = len(x)
-    if n <= 4 * rerank or not len(q):
+    if n <= EXACT_ROWS or not len(q):
         return _exact(ids, x, qids, q, k)
     by_id = np.argsort(ids, kind="stable")
     ids = ids[by_id]
@@ -136,7 +144,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     first = np.searchsorted(entry[copies], np.arange(entry.max() + 2))  # ``copies``: rows by entry, smaller ids first
     asked, same = distinct(q)
     of = np.searchsorted(asked[same], np.arange(asked.max() + 1))
-    at, dist = _search_entries(x[by_id][copies[first[:-1]]], ids[copies[first[:-1]]], q[same[of]], k + 1, probe, rerank)
+    at, dist = _search_entries(x[by_id][copies[first[:-1]]], ids[copies[first[:-1]]], q[same[of]], k + 1, aim, rerank)
     # each entry found stands for the k + 1 smallest ids of its vector; each query takes its own id out of them
     place = first[at][:, :, None] + np.arange(k + 1)
     there = (place < first[at + 1][:, :, None]) & np.isfinite(dist)[:, :, None]
@@ -156,17 +164,19 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, np.argsort(number, kind="stable")
 
 
-def _search_entries(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probe: float, rerank: int):
+def _search_entries(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, aim: float, rerank: int):
     """(row of x, squared distance), queries x up to k: the nearest of distinct vectors, ties by smaller id.
 
-    Cells of about sqrt(n) rows; the queries of one cell scan the codes of the nearest cells, at least ``probe`` of the
-    rows, and the ``rerank`` best by approximate distance are ranked by the exact one. If so many are equally far that the
-    last of the k is no nearer than the farthest reranked, the query is compared with every row.
+    Cells of about sqrt(n) rows; the queries of one cell scan the codes of the nearest cells, and the best by approximate
+    distance are ranked by the exact one. How many rows are scanned and how many ranked is measured: of some queries the
+    nearest are found by brute force, and both numbers are such that the share ``aim`` of these comes out. Where vectors
+    form no clusters that may be all rows. If so many are equally far that the last of the k is no nearer than the farthest
+    one ranked, the query is compared with every row.
     """
     n, d = x.shape
     k = min(k, n)
     got, far = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
-    if n <= 4 * rerank:
+    if n <= EXACT_ROWS:
         for s in range(0, len(q), 512):
             got[s : s + 512], far[s : s + 512] = _every(x, ids, q[s : s + 512], k)
         return got, far
@@ -185,8 +195,8 @@ def _search_entries(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probe
     tables = code.byte_tables()
     near = squared(cells, cells).argsort(1)
     counts = np.diff(starts)
-    enough = max(probe * n, LEAST_PROBED, k)
     home = nearest(qs, cells)
+    enough, rerank = _depth(x, xs, q, qs, home, near, counts, at, bias, code.scan(np.arange(n), tables)[:, :d] + cells[at], k, aim, rerank)
     q_order = np.argsort(home, kind="stable")
     q_starts = np.searchsorted(home[q_order], np.arange(nlist + 1))
     for g in range(nlist):
@@ -216,6 +226,22 @@ def _search_entries(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probe
     return got, far
 
 
+def _depth(x, xs, q, qs, home, near, counts, at, bias, coded, k, aim, rerank) -> tuple[int, int]:
+    """(rows to scan, rows to rank): what finds the share ``aim`` of the nearest of a sample of the queries."""
+    n = len(x)
+    sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), max(16, min(SAMPLE_QUERIES, n // 32)))).astype(int))
+    dist = squared(q[sample].astype(np.float64), x.astype(np.float64))
+    true = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    order = near[home[sample]]  # cells from the query's own outwards
+    place = np.argsort(order, axis=1)
+    reached = np.take_along_axis(np.cumsum(counts[order], axis=1), np.take_along_axis(place, at[true], 1), 1)
+    score = bias[None] - qs[sample] @ coded.T
+    own = np.take_along_axis(score, true, 1)
+    better = np.stack([(score < own[:, j : j + 1]).sum(1) for j in range(k)], 1)
+    each = 1 - (1 - aim) / 2
+    return max(k, LEAST_SCANNED, int(np.quantile(reached, each, method="higher"))), max(rerank, k, int(np.quantile(better, each, method="higher")) + 1)
+
+
 def _every(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int):
     """As ``_search_entries``, from the exact distances to all rows."""
     x64 = x.astype(np.float64)
@@ -265,31 +291,166 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
-def _centroids(big: DataFrame, blocks: dict[tuple, int]) -> dict[tuple, np.ndarray]:
-    """Coarse centroids of each large collection, fitted on at most about FIT_ROWS of its rows."""
-    found: dict[tuple, np.ndarray] = {}
+class Coarse:
+    """Coarse centroids of one large collection; a row meets those around the nearest of a coarser level."""
+
+    def __init__(self, centroids: np.ndarray):
+        self.centroids = centroids
+        c = len(centroids)
+        self.tops = kmeans(centroids, int(np.sqrt(c)), 6) if c > NEAR_CENTROIDS else centroids.mean(0, keepdims=True)
+        self.lists = np.argsort(squared(self.tops, centroids), axis=1)[:, :NEAR_CENTROIDS]
+
+    def around(self, x: np.ndarray):
+        """(rows, centroids, squared distances) for groups of rows, in pieces of bounded size."""
+        top = nearest(x, self.tops)
+        for t in np.unique(top):
+            rows, cells = np.flatnonzero(top == t), self.lists[t]
+            for s in range(0, len(rows), 8192):
+                part = rows[s : s + 8192]
+                yield part, cells, squared(x[part], self.centroids[cells])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for rows, cells, dist in self.around(x):
+            out[rows] = cells[dist.argmin(1)]
+        return out
+
+    def borders(self, x: np.ndarray):
+        """(rows, blocks, ratios): for groups of rows and each block around, the distance to the plane between that block's
+        centroid and the nearest one, over the distance to the nearest; 0 for the own block."""
+        for rows, cells, dist in self.around(x):
+            first = dist.argmin(1)
+            own = np.maximum(np.take_along_axis(dist, first[:, None], 1), 1e-12)
+            c = self.centroids[cells]
+            between = np.sqrt(np.maximum(squared(c, c), 1e-12))[first]
+            ratio = (dist - own) / (2 * between * np.sqrt(own))
+            ratio[np.arange(len(rows)), first] = 0
+            yield rows, cells, ratio
+
+
+def _fit_by(rows: DataFrame, by: list[str], wanted) -> DataFrame:
+    """(*by, c): centroids of each group's rows, ``wanted(key)`` of them."""
 
     def fit(key, t):
-        dim = key[1].as_py()
-        x = matrix(t.column("v"), dim)
+        key = tuple(k.as_py() for k in key)
+        x = matrix(t.column("v"), key[1])
         x = x[np.argsort(t.column("id").to_numpy(), kind="stable")]
-        c = kmeans(x, blocks[(key[0].as_py(), dim)], 8)
-        return pa.table({"g": pa.array([key[0].as_py()] * len(c), pa.string()), "dim": pa.array([dim] * len(c), pa.int32()), "c": pa.array(list(c), pa.list_(pa.float32()))})
+        c = kmeans(x[np.isfinite(x).all(1)], wanted(key), 8)
+        cols = [pa.array([k] * len(c), kind) for k, kind in zip(key, (pa.string(), pa.int32(), pa.int64()))]
+        return pa.Table.from_arrays([*cols, pa.array(list(c), pa.list_(pa.float32()))], names=[*by, "c"])
+
+    kinds = ("g string", "dim int", "top bigint")[: len(by)]
+    return rows.groupBy(*by).applyInArrow(fit, ", ".join([*kinds, "c array<float>"]))
 
-    for r in big.groupBy("g", "dim").applyInArrow(fit, "g string, dim int, c array<float>").collect():
+
+def _centroids(in_big: DataFrame, blocks: dict[tuple, int]) -> dict[tuple, Coarse]:
+    """Coarse centroids of each large collection, fitted on samples: ``in_big`` has n, the collection's rows.
+
+    Up to NEAR_CENTROIDS are fitted at once. More are fitted around the centroids of a coarser level, each group of rows by a
+    task of its own, from 16 rows of the sample for each.
+    """
+    picked = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = in_big.where(picked < F.lit(float(FIT_ROWS)) / F.col("n"))
+    many = {b: c for b, c in blocks.items() if c > NEAR_CENTROIDS}
+    found: dict[tuple, list] = {}
+    for r in _fit_by(sample, ["g", "dim"], lambda key: int(np.sqrt(blocks[key])) if key in many else blocks[key]).collect():
         found.setdefault((r.g, r.dim), []).append(r.c)
-    return {k: np.array(v, np.float32) for k, v in found.items()}
+    flat = {k: np.array(v, np.float32) for k, v in found.items()}
+    if many:
+        tops = in_big.sparkSession.sparkContext.broadcast({k: flat[k] for k in many if k in flat})
+
+        def assign(batches):
+            for b in batches:
+                g, dim, v = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(3)
+                offsets, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+                names, top = np.array(g, object), np.full(b.num_rows, -1)
+                for (name, d), c in tops.value.items():
+                    rows = np.flatnonzero((names == name) & (dim == d))
+                    if len(rows):
+                        top[rows] = nearest(values[offsets[rows][:, None] + np.arange(d)], c)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(top)], names=["g", "dim", "id", "v", "top"])
+
+        each = {(g, dim): 16.0 * c for (g, dim), c in many.items()}
+        sizes = in_big.sparkSession.createDataFrame([(g, dim, x) for (g, dim), x in each.items()], "sg string, sdim int, rows double")
+        more = in_big.join(F.broadcast(sizes), (F.col("g") == F.col("sg")) & (F.col("dim") == F.col("sdim"))).where(picked < F.col("rows") / F.col("n"))
+        placed = more.select("g", "dim", "id", "v").mapInArrow(assign, "g string, dim int, id bigint, v array<float>, top bigint").where("top >= 0")
+        again: dict[tuple, list] = {}
+        for r in _fit_by(placed, ["g", "dim", "top"], lambda key: max(1, int(np.sqrt(many[key[:2]])))).collect():
+            again.setdefault((r.g, r.dim), []).append(r.c)
+        flat |= {k: np.array(v, np.float32) for k, v in again.items()}
+    return {k: Coarse(v) for k, v in flat.items()}
+
+
+def _of_group(names: np.ndarray, dims: np.ndarray, v, name: str, d: int):
+    """(rows, vectors) of a batch that belong to a collection and have finite components."""
+    rows = np.flatnonzero((names == name) & (dims == d))
+    x = v.values.to_numpy(zero_copy_only=False)[v.offsets.to_numpy()[rows][:, None] + np.arange(d)]
+    fine = np.isfinite(x).all(1)
+    return rows[fine], x[fine]
+
+
+def _reach(in_big: DataFrame, coarse, k: int, aim: float) -> float:
+    """The border ratio up to which a row must be searched in other blocks: measured on BORDER_QUERIES rows, whose nearest
+    are found by brute force over all rows."""
+    spark = in_big.sparkSession
+    total = in_big.count()
+    picked = in_big.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.lit(min(1.0, BORDER_QUERIES / max(total, 1)) * (1 << 30)))
+    asked: dict[tuple, list] = {}
+    for r in picked.select("g", "dim", "id", "v").limit(2 * BORDER_QUERIES).collect():
+        asked.setdefault((r.g, r.dim), []).append((r.id, r.v))
+    queries = {}
+    for (g, dim), rows in asked.items():
+        x = np.array([v for _, v in rows], np.float32)
+        fine = np.isfinite(x).all(1)
+        if fine.any():
+            queries[g, dim] = np.array([i for i, _ in rows])[fine], x[fine]
+    shipped = spark.sparkContext.broadcast(queries)
+
+    def meet(batches):
+        for b in batches:
+            g, dim, ids, v = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            names = np.array(g.to_pylist(), object)
+            for (name, d), (qids, q) in shipped.value.items():
+                rows, x = _of_group(names, dim, v, name, d)
+                if not len(rows):
+                    continue
+                dist = np.maximum(squared(q.astype(np.float64), x.astype(np.float64)), 0)
+                dist[qids[:, None] == ids[rows][None]] = np.inf
+                top = np.argpartition(dist, min(k, len(rows)) - 1, axis=1)[:, :k]
+                block = coarse.value[name, d].home(x)
+                n, m = top.shape
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * (n * m)), pa.array(np.full(n * m, d, np.int32)), pa.array(np.repeat(qids, m)), pa.array(np.take_along_axis(dist, top, 1).ravel()), pa.array(block[top].ravel()), pa.array(ids[rows][top].ravel())],
+                    names=["g", "dim", "q", "distance", "block", "id"],
+                )
+
+    met = in_big.select("g", "dim", "id", "v").mapInArrow(meet, "g string, dim int, q bigint, distance double, block bigint, id bigint")
+    w = Window.partitionBy("g", "dim", "q").orderBy("distance", "id")
+    best = met.where("distance < double('inf')").dropDuplicates(["g", "dim", "q", "id"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    needs = []
+    near: dict[tuple, list] = {}
+    for r in best.select("g", "dim", "q", "block").collect():
+        near.setdefault((r.g, r.dim), []).append((r.q, r.block))
+    for key, pairs in near.items():
+        qids, q = queries[key]
+        ratio = np.full((len(qids), len(coarse.value[key].centroids)), np.inf)
+        for rows, cells, part in coarse.value[key].borders(q):
+            ratio[rows[:, None], cells[None]] = part
+        at = {i: j for j, i in enumerate(qids.tolist())}
+        needs += [ratio[at[i], b] for i, b in pairs]
+    return float(np.quantile(needs, aim, method="higher")) if needs else 0.0
 
 
 def knn(
-    records: DataFrame, key: str, vector: str, group: str, k: int = 5, probe: float = 0.3, rerank: int = 128,
-    block_rows: int = BLOCK_ROWS, spread: int = 3, queries=None, every_block: bool = False,
+    records: DataFrame, key: str, vector: str, group: str, k: int = 5, aim: float = 0.99, rerank: int = 128,
+    block_rows: int = BLOCK_ROWS, queries=None, every_block: bool = False,
 ) -> DataFrame:
     """(id, neighbour, distance, shared): for each key its k nearest rows of the same ``group`` by squared L2.
 
     A group of up to ``block_rows`` rows is one task. A larger one is split at coarse centroids (fitted on a bounded
-    sample, every row is indexed): each row is searched in its own block and in up to ``spread - 1`` others whose
-    boundary is close, and its best k overall come out (``shared`` marks such rows). A vector that one large group repeats
+    sample, every row is indexed): each row is searched in its own block and in all others whose border is as close as the
+    share ``aim`` of the nearest rows of a sample of queries asks for, and its best k overall come out (``shared`` marks such
+    rows). How deep a block is searched is measured in it, with the same aim. A vector that one large group repeats
     very often needs no search: any k others of its copies are at distance 0, so its rows get the smallest ids among them
     and only k + 1 of them stay in the index. ``queries``: a condition on ``id`` for the rows to search for, default all.
     ``every_block``: each row is compared with every row of its group, whatever its block: the yardstick of the index.
@@ -305,17 +466,17 @@ def knn(
     rows = rows.select("g", "id", F.size("v").alias("dim"), "v")
     big = {(r.g, r.dim): r.n for r in rows.groupBy("g", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).collect()}
     heavy_pairs = None
-    centroids: dict[tuple, np.ndarray] = {}
+    coarse: dict[tuple, Coarse] = {}
     if big:
-        size = max(block_rows, -(-sum(big.values()) // MAX_CENTROIDS))
-        names = spark.createDataFrame([(g, dim, min(1.0, FIT_ROWS / n)) for (g, dim), n in big.items()], "bg string, bdim int, keep double")
-        in_big = rows.join(F.broadcast(names), (F.col("g") == F.col("bg")) & (F.col("dim") == F.col("bdim")))
+        size = max(block_rows, -(-sum(n * dim for (_, dim), n in big.items()) // CENTROID_COMPONENTS))
+        names = spark.createDataFrame([(g, dim, n) for (g, dim), n in big.items()], "bg string, bdim int, n bigint")
+        in_big = rows.join(F.broadcast(names), (F.col("g") == F.col("bg")) & (F.col("dim") == F.col("bdim"))).select("g", "dim", "id", "v", "n")
         least = max(k + 2, block_rows // HEAVY_SHARE)
         heavy = in_big.groupBy("g", F.xxhash64("v").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > least)
-        heavy_n = heavy.limit(MAX_CENTROIDS + 1).count()
+        heavy_n = heavy.limit(MOST_HEAVY + 1).count()
         if heavy_n:
             side = heavy.select(F.col("g").alias("hg"), "h")
-            side = F.broadcast(side) if heavy_n <= MAX_CENTROIDS else side
+            side = F.broadcast(side) if heavy_n <= MOST_HEAVY else side
             same = (F.col("g") == F.col("hg")) & (F.xxhash64("v") == F.col("h"))
             copies = rows.join(side, same, "left_semi")
             tagged = copies.join(_smallest(copies, k + 1), ["g", "v"])
@@ -324,52 +485,54 @@ def knn(
             heavy_pairs = tagged_asked.select("id", F.explode(near).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(True).alias("shared"))
             kept = tagged.where(F.array_contains("firsts", F.col("id"))).select("g", "id", "dim", "v")
             rows = rows.join(side, same, "left_anti").union(kept)
-        sample = in_big.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("keep") * (1 << 30)).select("g", "id", "dim", "v")
-        centroids = _centroids(sample, {b: -(-n // size) for b, n in big.items()})
-    shipped = spark.sparkContext.broadcast(centroids)
+        coarse = _centroids(in_big, {b: -(-n // size) for b, n in big.items()})
+    shipped = spark.sparkContext.broadcast(coarse)
+    reach = _reach(in_big, shipped, k, aim) if big and not every_block else float("inf")
     rows = rows.withColumn("ask", F.lit(True) if queries is None else queries(F.col("id")))
 
     def place(batches):
         for b in batches:
             g, ids, dim, v, asked = (b.column(i) for i in range(5))
             asks = np.array(asked.to_pylist(), bool)
-            block = np.zeros(b.num_rows, np.int32)
-            extra = []
+            block = np.zeros(b.num_rows, np.int64)
+            more_rows, more_blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if shipped.value:
                 names, dims = np.array(g.to_pylist(), object), dim.to_numpy()
-                offsets = v.offsets.to_numpy()
-                values = v.values.to_numpy(zero_copy_only=False)
                 for (name, d), c in shipped.value.items():
-                    rows_of = np.nonzero((names == name) & (dims == d))[0]
-                    if not len(rows_of) or len(c) < 2:
+                    rows_of, x = _of_group(names, dims, v, name, d)
+                    if not len(rows_of) or len(c.centroids) < 2:
+                        continue
+                    if every_block:
+                        home = c.home(x)
+                        block[rows_of] = home
+                        i, other = np.nonzero(np.arange(len(c.centroids))[None] != home[:, None])
+                        take = asks[rows_of[i]]
+                        more_rows.append(rows_of[i[take]])
+                        more_blocks.append(other[take])
                         continue
-                    x = values[offsets[rows_of][:, None] + np.arange(d)]
-                    dist = squared(x, c)
-                    rank = np.argsort(dist, 1)[:, : None if every_block else spread]
-                    first = rank[:, 0]
-                    block[rows_of] = first
-                    for t in range(1, rank.shape[1]):
-                        other = rank[:, t]
-                        # distance to the plane between the two blocks against the distance to the own centroid
-                        between = np.sqrt(np.maximum(((c[first] - c[other]) ** 2).sum(1), 1e-12))
-                        gap = (dist[np.arange(len(x)), other] - dist[np.arange(len(x)), first]) / (2 * between)
-                        close = every_block | (gap < 0.35 * np.sqrt(np.maximum(dist[np.arange(len(x)), first], 1e-12)))
-                        close &= asks[rows_of]
-                        extra += zip(rows_of[close], other[close])
-            home = pa.RecordBatch.from_arrays(
-                [g, ids, dim, v, pa.array(block), pa.array(np.zeros(b.num_rows, bool)), pa.array(np.isin(np.arange(b.num_rows), [e[0] for e in extra])), pa.array(asks)],
+                    for part, cells, ratio in c.borders(x):
+                        first = ratio.argmin(1)
+                        block[rows_of[part]] = cells[first]
+                        close = (ratio <= reach) & asks[rows_of[part]][:, None]
+                        close[np.arange(len(part)), first] = False
+                        i, other = np.nonzero(close)
+                        more_rows.append(rows_of[part[i]])
+                        more_blocks.append(cells[other])
+            take, others = np.concatenate(more_rows), np.concatenate(more_blocks)
+            shared = np.zeros(b.num_rows, bool)
+            shared[take] = True
+            yield pa.RecordBatch.from_arrays(
+                [g, ids, dim, v, pa.array(block), pa.array(np.zeros(b.num_rows, bool)), pa.array(shared), pa.array(asks)],
                 names=["g", "id", "dim", "v", "block", "guest", "shared", "ask"],
             )
-            yield home
-            if extra:
-                take = pa.array([int(e[0]) for e in extra])
+            for s in range(0, len(take), 8192):
+                at = pa.array(take[s : s + 8192])
+                yes = pa.array(np.ones(len(at), bool))
                 yield pa.RecordBatch.from_arrays(
-                    [g.take(take), ids.take(take), dim.take(take), v.take(take), pa.array([int(e[1]) for e in extra], pa.int32()),
-                     pa.array(np.ones(len(take), bool)), pa.array(np.ones(len(take), bool)), pa.array(np.ones(len(take), bool))],
-                    names=["g", "id", "dim", "v", "block", "guest", "shared", "ask"],
-                )
+                    [g.take(at), ids.take(at), dim.take(at), v.take(at), pa.array(others[s : s + 8192]), yes, yes, yes], names=["g", "id", "dim", "v", "block", "guest", "shared", "ask"]
+                )
 
-    placed = rows.select("g", "id", "dim", "v", "ask").mapInArrow(place, "g string, id bigint, dim int, v array<float>, block int, guest boolean, shared boolean, ask boolean")
+    placed = rows.select("g", "id", "dim", "v", "ask").mapInArrow(place, "g string, id bigint, dim int, v array<float>, block bigint, guest boolean, shared boolean, ask boolean")
 
     def search(key, t):
         dim = key[1].as_py()
@@ -388,7 +551,7 @@ def knn(
         if every_block:
             at, found, dist = _exact(ids[own], x[own], qids, q, k)
         else:
-            at, found, dist = search_block(ids[own], x[own], qids, q, k, probe, rerank)
+            at, found, dist = search_block(ids[own], x[own], qids, q, k, aim, rerank)
         return pa.table({"id": qids[at], "neighbour": found, "distance": dist, "shared": qshared[at]})
 
     got = placed.groupBy("g", "dim", "block").applyInArrow(search, "id bigint, neighbour bigint, distance double, shared boolean")
