@@ -54,6 +54,9 @@ STOP_WORDS = tuple(
 )
 
 
+STOP_SET = frozenset(STOP_WORDS)
+
+
 def spaced(text: Column) -> Column:
     """The words of ``text`` in order, separated (and possibly surrounded) by single or repeated blanks; '' for NULL."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BOUNDARY, " ")

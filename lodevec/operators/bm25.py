@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +18,33 @@ from .topk import nearest, ranked
 K1, B = 1.2, 0.75
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, dl, term, tf): a row for each term of a document, and one without a term for its length."""
+    for b in batches:
+        ids, lengths, terms, counts = [], [], [], []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            tf = Counter(w for w in T.python_words(text) if w not in T.STOP_SET)
+            if tf:
+                n = tf.total()
+                ids += [i] * (len(tf) + 1)
+                lengths += [n] * (len(tf) + 1)
+                terms += [*tf, None]
+                counts += [*tf.values(), n]
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "dl": pa.array(lengths, pa.int64()), "term": pa.array(terms, pa.string()), "tf": pa.array(counts, pa.int64())})
+
+
 class TextIndex:
     """Postings, lengths and document frequencies of the active documents, written once and shared by searches.
 
-    Documents stay whole on one partition from the word rows to the postings: counting terms and lengths and joining them
-    needs one shuffle by document.
+    ``key`` is unique: a document's terms and length come from its row alone, so that the index needs no shuffle.
     """
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "document"):
         rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-        tf = T.exploded_terms(rows.repartition("id"), "id", "text").groupBy("id", "term").agg(F.count("*").alias("tf"))
-        lengths = tf.groupBy(F.col("id").alias("of")).agg(F.sum("tf").alias("dl"))
+        held = settle(rows.mapInArrow(_counted, "id bigint, dl bigint, term string, tf bigint"), "postings")
         #: one row per (document, term) with its count and the document's length
-        self.postings = settle(tf.join(lengths, F.col("id") == F.col("of")).select("id", "dl", "term", "tf"), "postings")
-        self.lengths = self.postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+        self.postings = held.where("term is not null")
+        self.lengths = held.where("term is null").select("id", "dl")
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
 
     def search(self, queries: DataFrame, n: int, allowed: DataFrame | None = None, text: str = "text") -> DataFrame:

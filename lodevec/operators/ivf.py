@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quant
 from ..types import between, check_metric, check_results
-from . import kmeans
+from . import kmeans, topk
 from .topk import ranked
 
 
@@ -45,10 +45,13 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str)
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column(1))
-                d = ((q[:, None] - c[None]) ** 2).sum(2) if metric == "l2" else -(q @ c.T)
-                top = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-                at = pa.array(np.repeat(np.arange(len(q)), top.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(top.ravel().astype(np.int32))], names=["query_id", "q", "list_no"])
+                step = max(1, topk.BLOCK_NUMBERS // len(c))
+                for s in range(0, len(q), step):
+                    part = q[s : s + step]
+                    i, j, d = topk.candidates(part, c, nprobe, "l2" if metric == "l2" else "ip")
+                    keep = topk.best_of(i, j, d, nprobe)
+                    at = pa.array(s + i[keep])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(j[keep].astype(np.int32))], names=["query_id", "q", "list_no"])
 
     return queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<float>").alias("q")).mapInArrow(
         run, "query_id bigint, q array<float>, list_no int"
@@ -63,19 +66,64 @@ def _prepare(records: DataFrame, metric: str, key: str, vector: str, where: Colu
     return rows.select(F.col(key).cast("bigint").alias("id"), (normalised(v) if metric == "cosine" else v).alias("v")).where("v is not null")
 
 
+#: Rows of a list and queries that meet in one task.
+SLICE_ROWS = 100_000
+QUERY_ROWS = 4_096
+
+
+def meet_lists(lists: DataFrame, asked: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel(list_no, rows, queries)``, Arrow tables, for what meets in a list: ``lists`` (list_no, id, ..), ``asked``
+    (list_no, query_id, q).
+
+    A list is cut into slices and its queries into blocks, so that each task holds a bounded part of both: rows go to all
+    query blocks of their list and queries to all slices, one of each as a rule. Lists that no query probes stay out. The
+    table of cuts has a row for each list.
+    """
+    rows = lists.groupBy("list_no").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))
+    cuts = rows.join(asked.groupBy(F.col("list_no").alias("of")).agg(F.ceil(F.count("*") / QUERY_ROWS).alias("blocks")), F.col("list_no") == F.col("of"))
+    cuts = F.broadcast(cuts.select(F.col("list_no").alias("of"), "slices", "blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    here = lists.join(cuts, F.col("list_no") == F.col("of")).withColumn("slice", F.pmod(F.xxhash64("id"), "slices")).withColumn("block", every("blocks"))
+    there = asked.join(cuts, F.col("list_no") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("slice", every("slices"))
+    keys = ["list_no", "slice", "block"]
+    empty = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]).empty_table()
+
+    def run(key, a, b):
+        return kernel(key[0].as_py(), a, b) if a.num_rows and b.num_rows else empty
+
+    here, there = here.select(*keys, *[c for c in lists.columns if c != "list_no"]), there.select(*keys, "query_id", "q")
+    return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(run, schema)
+
+
+_FOUND = "query_id bigint, id bigint, distance double"
+
+
+def _found(qid, i, ids, dist, k) -> pa.Table:
+    keep = topk.best_of(i, ids, dist, k)
+    return pa.table({"query_id": qid[i[keep]], "id": ids[keep], "distance": dist[keep]})
+
+
 def search_flat(
     records: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 1, metric: str = "l2", where: Column | None = None,
     key: str = "id", vector: str = "embedding",
 ) -> DataFrame:
     """IVF-Flat: (query_id, rank, id, distance), exact distances within the probed lists; ``where`` is honoured."""
-    from ..functions.vectors import inner_product, squared_l2
-
     check_results(k), check_metric(metric), between("nprobe", nprobe, 1, len(centroids))
     lists = with_list(_prepare(records, metric, key, vector, where), centroids)
     asked = probes(_prepare(queries.withColumnRenamed("query_id", "id"), metric, "id", "embedding", None).select(F.col("id").alias("query_id"), F.col("v").alias("embedding")), centroids, nprobe, metric)
-    both = lists.join(asked, "list_no")
-    dist = squared_l2(F.col("v"), F.col("q")) if metric == "l2" else F.lit(1.0) - inner_product(F.col("v"), F.col("q"))
-    return ranked(both.select("query_id", "id", dist.alias("distance")), k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
+
+    def exact(_, rows, queries):
+        x, ids = _matrix(rows.column("v").combine_chunks()), rows.column("id").to_numpy()
+        qid, q = queries.column("query_id").to_numpy(), _matrix(queries.column("q").combine_chunks())
+        step = max(1, topk.BLOCK_NUMBERS // len(x))
+        parts = []
+        for s in range(0, len(q), step):
+            i, j, dist = topk.candidates(q[s : s + step], x, k, metric)
+            parts.append((s + i, ids[j], dist))
+        return _found(qid, *(np.concatenate(c) for c in zip(*parts)), k)
+
+    found = meet_lists(lists.select("list_no", "id", "v"), asked, exact, _FOUND)
+    return ranked(found, k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
 
 
 @dataclass
@@ -95,6 +143,7 @@ class IVFPQ:
     def __post_init__(self):
         check_metric(self.metric)
         between("nlist", self.nlist, 1, 1_000_000)
+        kmeans.check_centroids(self.nlist, self.dimension)
         between("ksub", self.ksub, 1, 256)
         if self.dimension % self.m:
             raise ValueError("the parts must divide the dimension")
@@ -158,43 +207,33 @@ class IVFPQ:
     def query(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, rank, id, distance) by asymmetric distances to the codes of the probed lists.
 
-        Lists meet their queries in one task per list and slice of the list, so that one long list is no single task.
+        A slice of a list meets a block of its queries in one task. Each query's table of distances from its parts to all
+        codewords is looked up by the codes; the best k of each slice come out.
         """
         check_results(k)
         codes = self.codes if allowed is None else self.codes.join(allowed.select("id"), "id", "left_semi")
         q = _prepare(queries.withColumnRenamed("query_id", "id"), self.metric, "id", "embedding", None).select(F.col("id").alias("query_id"), F.col("v").alias("embedding"))
         asked = probes(q, self.centroids, self.nprobe, self.metric)
-        by_list = asked.groupBy("list_no").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-        both = codes.join(by_list, "list_no")
         shipped = codes.sparkSession.sparkContext.broadcast((self.centroids, self.books))
         metric = self.metric
 
-        def run(batches):
+        def look_up(n, rows, block):
             c, books = shipped.value
-            parts = np.arange(len(books))
-            tables: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
-            for b in batches:
-                lists = b.column("list_no").to_numpy()
-                ids, codes = b.column("id").to_numpy(), np.array(b.column("code").to_pylist(), np.int64).reshape(b.num_rows, -1)
-                qs = b.column("qs")
-                out = []
-                for n in np.unique(lists):
-                    at = np.flatnonzero(lists == n)
-                    for r in qs[int(at[0])].as_py():
-                        if (r["query_id"], n) not in tables:
-                            x = np.array(r["q"], np.float64)
-                            tables[r["query_id"], n] = (quant.adc_table(x - c[n] if metric == "l2" else x, books, metric), 0.0 if metric == "l2" else -float(x @ c[n]))
-                        table, base = tables[r["query_id"], n]
-                        dist = base + table[parts, codes[at]].sum(1)
-                        dist = dist if metric == "l2" else 1 + dist
-                        best = np.lexsort((ids[at], dist))[:k]
-                        out.append((np.full(len(best), r["query_id"]), ids[at][best], dist[best]))
-                if len(tables) > 100_000:
-                    tables.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "id", "distance"])
-
-        found = both.select("list_no", "id", "code", "qs").mapInArrow(run, "query_id bigint, id bigint, distance double")
+            ids, code = rows.column("id").to_numpy(), rows.column("code").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(rows.num_rows, -1)
+            qid, q = block.column("query_id").to_numpy(), _matrix(block.column("q").combine_chunks())
+            out = []
+            for at, x in enumerate(q):
+                table, base = quant.adc_table(x - c[n] if metric == "l2" else x, books, metric), 0.0 if metric == "l2" else 1.0 - float(x @ c[n])
+                dist = np.full(len(code), base)
+                for m in range(len(books)):
+                    dist += table[m][code[:, m]]
+                few = np.arange(len(dist))
+                if len(dist) > k:
+                    few = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
+                out.append((np.full(len(few), at), ids[few], dist[few]))
+            return _found(qid, *(np.concatenate(p) for p in zip(*out)), k)
+
+        found = meet_lists(codes.select("list_no", "id", "code"), asked, look_up, _FOUND)
         return ranked(found, k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
 
     def stats(self) -> dict:

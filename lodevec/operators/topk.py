@@ -28,48 +28,61 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / n).astype(np.float32).astype(np.float64)
 
 
+def candidates(q: np.ndarray, x: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of all rows that may be among a query's best k: a matrix product finds them, with what may tie
+    with the k-th, and their distances are computed from the vectors themselves. Vectors are of unit length for cosine.
+    ``bound``: each query's k-th distance so far, where it is known."""
+    rough = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2 * q @ x.T if metric == "l2" else 1 - q @ x.T
+    if bound is not None:
+        i, j = np.nonzero(rough <= (bound + 1e-9 * (1 + np.abs(bound)))[:, None])
+    elif rough.shape[1] > k:
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])
+    else:
+        i, j = (a.ravel() for a in np.indices(rough.shape))
+    return i, j, ((x[j] - q[i]) ** 2).sum(1) if metric == "l2" else 1 - (x[j] * q[i]).sum(1)
+
+
+def best_of(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k entries of each query ``i``, by distance and id."""
+    order = np.lexsort((ids, dist, i))
+    at = i[order]
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+    return order[rank < k]
+
+
+#: Numbers in a block of queries x rows.
+BLOCK_NUMBERS = 8_000_000
+
+
 def _scan(queries, metric: str, k: int):
     """Batches of (id, vector) to each query's best k rows of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = queries.value
-        best_i, best_d = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        best_q, best_i, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = None
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column(1)
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             if not np.isfinite(x).all():
                 raise ValueError("vectors must be finite")
             ids = b.column(0).to_numpy()
             if metric == "cosine":
                 x = _unit(x)
-            rough = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2 * q @ x.T if metric == "l2" else 1 - q @ x.T
-            if rough.shape[1] > k:
-                edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-                # all that may tie with the k-th once computed exactly
-                i, j = np.nonzero(rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None])
-            else:
-                i, j = (a.ravel() for a in np.indices(rough.shape))
-            if metric == "l2":
-                dist = ((x[j] - q[i]) ** 2).sum(1)
-            else:
-                dist = 1 - (x[j] * q[i]).sum(1)
-            keep_i, keep_d = [], []
-            order = np.lexsort((ids[j], dist, i))
-            i, j, dist = i[order], j[order], dist[order]
-            cut = np.searchsorted(i, np.arange(len(q) + 1))
-            width = min(k, max(np.diff(cut).max(), 0) + best_i.shape[1])
-            for r in range(len(q)):
-                s = slice(cut[r], min(cut[r + 1], cut[r] + k))
-                cand_d, cand_i = np.r_[best_d[r], dist[s]], np.r_[best_i[r], ids[j[s]]]
-                o = np.lexsort((cand_i, cand_d))[:width]
-                pad = width - len(o)
-                keep_i.append(np.r_[cand_i[o], np.full(pad, -1)])
-                keep_d.append(np.r_[cand_d[o], np.full(pad, np.inf)])
-            best_i, best_d = np.array(keep_i, np.int64), np.array(keep_d)
-        i, j = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(best_i[i, j]), pa.array(best_d[i, j])], names=["query_id", "id", "distance"])
+            parts = [(best_q, best_i, best_d)]
+            step = max(1, BLOCK_NUMBERS // len(x))
+            for s in range(0, len(q), step):
+                i, j, dist = candidates(q[s : s + step], x, k, metric, None if bound is None else bound[s : s + step])
+                parts.append((s + i, ids[j], dist))
+            best_q, best_i, best_d = (np.concatenate(c) for c in zip(*parts))
+            keep = best_of(best_q, best_i, best_d, k)
+            best_q, best_i, best_d = best_q[keep], best_i[keep], best_d[keep]
+            if len(best_q) == k * len(q):  # by query and distance
+                bound = best_d.reshape(len(q), k)[:, -1]
+        yield pa.RecordBatch.from_arrays([pa.array(qid[best_q]), pa.array(best_i), pa.array(best_d)], names=["query_id", "id", "distance"])
 
     return run
 

@@ -3,7 +3,7 @@ evaluation items; they meet all rows."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from ..functions import quant, text as T, vectors as V
 from ..functions import where as W
 from ..operators import bm25, ivf, kmeans, mutations, topk
 from ..sources import readers
-from ..util import table
+from ..util import shared_dir, table
 
 K = 10
 NLIST, NPROBE, PARTS, KSUB = 16, 4, 8, 64
@@ -270,9 +270,11 @@ def _pq_encode(spark, d, ksub: int = KSUB):
 
 
 def _pq_topk(spark, d, ksub: int = KSUB):
-    """Asymmetric distances: the query to each row's decoded codewords, which is what the table of distances adds up."""
-    c = _pq_codes(spark, d, ksub).select("id", F.col("decoded").alias("embedding"))
-    return _shown(topk.nearest(c, _asked(_records(spark, d)), K))
+    """Asymmetric distances by table look-ups, in one list about the origin, so that codes are those of the vectors."""
+    first = _first_rows(spark, d, ksub)
+    r = _records(spark, d)
+    index = ivf.IVFPQ(first.shape[1], "l2", 1, PARTS, 1, len(first), np.zeros((1, first.shape[1])), np.split(first, PARTS, axis=1))
+    return _shown(index.add(r).query(_asked(r), K))
 
 
 def _ivfpq_topk(spark, d):
@@ -292,7 +294,7 @@ def _ivfpq_recall(spark, d):
 
 
 def _fvecs(spark, d):
-    path = tempfile.mkdtemp(prefix="lodevec-fvecs-") + "/all.fvecs"
+    path = f"{shared_dir(spark).removeprefix('file://')}/lodevec-fvecs-{uuid.uuid4().hex}"
     readers.write_fvecs(_records(spark, d), path)
     return readers.read_fvecs(spark, path).select("id", F.round(V.norm2(F.col("embedding")), 6).alias("length"))
 
@@ -419,6 +421,9 @@ _SQ8_RERANK = (
 _EXACT = f"x as (select * from (select query_id, id, row_number() over (partition by query_id order by round(distance, 12), id) as rank from (select q.id as query_id, r.id, {_L2.format(a='r.embedding', b='q.embedding')} as distance from e r, e q where q.id % 20 = 0)) where rank <= {K})"
 _DIMS = "x1 as (select id, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as dim from e), db as (select dim, min(x)::double as vmin, max(x)::double - min(x)::double as vdiff from x1 group by dim), "
 _DEC = _E + _DIMS + "dx as (select id, x1.dim, x::double as x, floor(least(1e0, greatest(0e0, case when vdiff > 0 then (x::double - vmin) / vdiff else 0e0 end)) * 255e0 + 0.5e0) / 255e0 * vdiff + vmin as y from x1 join db using (dim)), "
+# sixteen bits: eleven significant ones down to 2^-14, and steps of 2^-24 below
+_STEP = "pow(2e0, greatest(floor(log2(abs(x::double))), -14e0) - 10e0)"
+_HALF = f"hf as (select id, list_transform(embedding, lambda x: case when x = 0 then 0e0 else round_even(x::double / {_STEP}, 0) * {_STEP} end) as embedding from e), "
 _CENT = f"ce as (select row_number() over (order by id) - 1 as list_no, embedding as c from (select id, embedding from e order by id limit {NLIST})), "
 _LISTS = _E + _CENT + f"al as (select id, list_no, {_L2.format(a='embedding', b='c')} as dist from e, ce), li as (select id, list_no from (select id, list_no, row_number() over (partition by id order by dist, list_no) as r from al) where r = 1)"
 _BOOKS = _E + f"""bk as (select row_number() over (order by id) - 1 as code, embedding as c from (select id, embedding from e order by id limit {KSUB})),
@@ -492,6 +497,7 @@ SQL = {
     "sq_dim_bounds": _E + _DIMS.rstrip(", ") + " select dim::bigint as dim, round(vmin, 6) as vmin, round(vdiff, 6) as vdiff from db",
     "sq_roundtrip_error": _DEC.rstrip(", ") + " select id, round(sum((x - y) * (x - y)), 8) as error from dx group by id",
     "sq_topk": _DEC + "de as (select id, list(y order by dim) as embedding from dx group by id), " + _ranked_sql("de", _L2_RANK),
+    "fp16_topk": _E + _HALF + _ranked_sql("hf", _L2_RANK),
     "kmeans_assign": _LISTS + " select id, list_no from li",
     "kmeans_one_iter": _LISTS + ", ux as (select list_no, id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from li join e using (id)), mm as (select list_no, dim, sum(x) / count(*) as m, count(*) as n from ux group by list_no, dim) select list_no, max(n) as n, round(sum(m), 6) as total from mm group by list_no",
     "ivf_list_sizes": _LISTS + " select list_no, count(*) as n from li group by list_no",

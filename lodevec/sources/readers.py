@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import math
+import os
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -183,22 +186,35 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _vecs(spark: SparkSession, path: str, id_start: int, dtype: str, kind: str, most: int) -> DataFrame:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [int(np.frombuffer(h.as_py(), "<i4")[0]) if len(h.as_py()) == 4 else 0 for h in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n // (4 * (d + 1)) if d > 0 else 0 for n, d in zip(b.column(1).to_pylist(), heads)], pa.int64())], names=["path", "n"])
+
+    # files follow each other in the order of their names
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 4).alias("head"))
+    offsets, at = {}, id_start
+    for r in sorted(files.mapInArrow(sizes, "path string, n bigint").collect()):
+        offsets[r.path] = at
+        at += r.n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not content:
                     continue
+                first = offsets[name]
                 d = int(np.frombuffer(content, "<i4", 1)[0])
                 if not 1 <= d <= MAX_DIMENSION or len(content) % (4 * (d + 1)):
                     raise ValueError(f"{name}: bad dimension or partial record")
                 m = np.frombuffer(content, "<i4").reshape(-1, d + 1)
                 if (m[:, 0] != d).any():
                     raise ValueError(f"{name}: dimensions differ")
-                x = m[:most, 1:].copy().view(dtype)
+                x = m[: max(0, most + id_start - first), 1:].copy().view(dtype)
                 for s in range(0, len(x), 8192):
                     part = x[s : s + 8192]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(part)) + id_start), lists], names=["id", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(part)) + first), lists], names=["id", "embedding"])
 
     return _binary(spark, path).mapInArrow(run, f"id bigint, embedding array<{kind}>")
 
@@ -412,9 +428,24 @@ def from_arrays(spark: SparkSession, ids: np.ndarray, embeddings: np.ndarray) ->
 
 
 def write_fvecs(rows: DataFrame, path: str, vector: str = "embedding", key: str = "id") -> None:
-    """One fvecs file of all rows in the order of ``key``, written by partition and joined in place: for exports of the
-    size of one file."""
-    with open(path, "wb") as f:
-        for r in rows.select(key, vector).orderBy(key).toLocalIterator():
-            v = np.asarray(r[1], "<f4")
-            f.write(np.int32(len(v)).astype("<i4").tobytes() + v.tobytes())
+    """A folder of fvecs files, one for each partition, that hold all rows in the order of ``key``. Tasks write the files, so
+    that the folder must be one that all executors share."""
+    root = Path(path)
+    root.mkdir(parents=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        draft, n = root / f".{part}-{uuid.uuid4().hex}", 0
+        with open(draft, "wb") as f:
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(b.num_rows, -1)
+                    width = np.full((len(x), 1), x.shape[1], "<i4").view("<f4")
+                    f.write(np.concatenate([width, x], 1).tobytes())
+                    n += len(x)
+        os.replace(draft, root / f"part-{part:08d}.fvecs")
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.select(key, vector).repartitionByRange(key).sortWithinPartitions(key).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

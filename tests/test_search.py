@@ -196,3 +196,51 @@ def test_ivfpq_save(spark, clouds, tmp_path):
     assert again.stats() == index.stats()
     with pytest.raises(ValueError):
         ivf.IVFPQ.load(spark, str(tmp_path / "none"))
+
+
+def test_assign_breaks_ties_as_by_differences():
+    rng = np.random.default_rng(7)
+    for x, c in ((rng.integers(0, 3, (400, 4)) / 2, rng.integers(0, 3, (9, 4)) / 2), (rng.normal(0, 1e3, (300, 8)), rng.normal(0, 1e3, (20, 8)))):
+        want = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        assert (kmeans.assign(x.astype(float), c.astype(float)) == want).all()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_lists_in_slices_and_blocks(spark, clouds, monkeypatch, metric):
+    """However lists and queries are cut, the lists that are probed give what comparing with all of their rows gives."""
+    monkeypatch.setattr(ivf, "SLICE_ROWS", 40)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<float>")
+    q = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    centroids = x[:5].astype(float)
+    every = {(r.query_id, r.rank): r.id for r in topk.nearest(df, q, 6, metric).collect()}
+    flat = {(r.query_id, r.rank): r.id for r in ivf.search_flat(df, q, centroids, 6, 5, metric).collect()}
+    assert flat == every
+    index = ivf.IVFPQ(8, metric, nlist=5, m=4, nprobe=2, ksub=32).train(df).add(df)
+    got = {(r.query_id, r.rank): (r.id, round(r.distance, 9)) for r in index.query(q, 6).collect()}
+    monkeypatch.setattr(ivf, "SLICE_ROWS", 10**6)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 10**6)
+    assert got == {(r.query_id, r.rank): (r.id, round(r.distance, 9)) for r in index.query(q, 6).collect()}
+    codes = {r.id: (r.list_no, r.code) for r in index.codes.collect()}
+    decoded = {i: index.centroids[n] + np.concatenate([b[k] for b, k in zip(index.books, code)]) for i, (n, code) in codes.items()}
+    for (qid, rank), (i, dist) in got.items():
+        a = x[qid].astype(float)
+        a = (a / np.sqrt(a @ a)).astype(np.float32).astype(float) if metric == "cosine" else a
+        want = ((decoded[i] - a) ** 2).sum() if metric == "l2" else 1 - decoded[i] @ a
+        assert abs(want - dist) < 1e-6
+    assert kmeans.fit(df, 3).shape == (3, 8)
+    with pytest.raises(ValueError):
+        ivf.IVFPQ(64, nlist=1_000_000)
+
+
+def test_fvecs_of_several_files(spark, tmp_path):
+    from lodevec.sources import readers
+
+    x = np.random.default_rng(2).normal(0, 1, (300, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<float>").repartition(5)
+    readers.write_fvecs(df, str(tmp_path / "all"))
+    got = {r.id: r.embedding for r in readers.read_fvecs(spark, str(tmp_path / "all"), id_start=10).collect()}
+    assert sorted(got) == list(range(10, 310)) and all(np.allclose(got[i + 10], x[i]) for i in range(300))
+    assert readers.read_fvecs(spark, str(tmp_path / "all"), max_rows=120).count() == 120
