@@ -141,6 +141,39 @@ s as (select least(a.id, b.id) as id_a, greatest(a.id, b.id) as id_b from w a, w
 select id_a, id_b from j where shared * 10 >= 7 * (both_n - shared) union select id_a, id_b from s
 """
 
+_GROUPS_SQL = f"""
+with recursive pairs as ({_P1_SQL}),
+e as (select id_a as a, id_b as b from pairs union select id_b, id_a from pairs),
+r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id)
+select id, min(root) as "group" from r group by id
+"""
+
+_APART = "array_distance(a.v, b.v)"
+_ONCE = "select id, any_value(collection_name) as g, any_value(embedding)::double[32] as v from import_records group by id"
+
+# distances are roots of multiples of 2^-14, which doubles tell apart
+_P3_SQL = f"""
+with recursive o as ({_ONCE}),
+e as (select a.id as a, b.id as b from o a, o b where a.id <> b.id and {_APART} <= sqrt(1.5e0)),
+r as (select a as id, a as root from e union select e.b, r.root from r join e on e.a = r.id),
+f as (select id, min(root) as first_id from r group by id)
+select first_id, id from f where first_id in (select first_id from f group by first_id having count(*) >= 5)
+"""
+
+_P4_SQL = f"""
+with o as ({_ONCE}),
+n as (select a.id as x, b.id as y, row_number() over (partition by a.id order by {_APART}, b.id) as r from o a join o b on a.g = b.g and a.id <> b.id)
+select distinct least(x, y) as id_a, greatest(x, y) as id_b from n where r <= 5
+"""
+
+# words and signs stand for tokens: which sources are short doesn't depend on the tokenizer
+_P7_SQL = """
+with t as (select lower(trim(source)) as source, sum(target_weight) as w, max(max_repeats) as cap from mixture_targets group by 1),
+d as (select lower(trim(source)) as source, sum(len(regexp_extract_all(coalesce(text, ''), '[\\pL\\pM]{1,6}|\\pN|[^\\s\\pL\\pM\\pN]'))) as tokens from documents group by 1),
+x as (select t.source, w / sum(w) over () as share, cap, coalesce(tokens, 0) as tokens from t left join d on d.source = t.source)
+select source from x where cap * tokens < share * (select sum(tokens) from x)
+"""
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
@@ -161,6 +194,10 @@ QUERIES = {
 }
 SQL = {
     "p1_found": _P1_SQL,
+    "p1_groups": _GROUPS_SQL,
+    "p3_found": _P3_SQL,
+    "p4_found": _P4_SQL,
+    "p7_found": _P7_SQL.replace("\\\\", "\\"),
     "p2_terms": _P2_SQL,
     "p2_found": f"select term, verdict from ({_P2_SQL}) where verdict <> 'useful'",
 }
