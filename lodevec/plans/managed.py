@@ -41,7 +41,7 @@ def _mutated(spark: SparkSession, d: str, c: Collection) -> None:
 def _state(c: Collection) -> DataFrame:
     m = lambda k: F.try_element_at("metadata", F.lit(k))
     return c.records.select(
-        "id", "document", m("meta_category")["s"].alias("category"), F.coalesce(m("meta_year")["i"], F.lit(-1)).alias("year"), m("meta_published")["b"].cast("bigint").alias("published"),
+        "id", "document", m("meta_category")["s"].alias("category"), F.coalesce(m("meta_year")["i"], F.lit(-1)).alias("year"), F.coalesce(m("meta_published")["b"].cast("bigint"), F.lit(-1)).alias("published"),
         F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"),
     )
 
@@ -76,7 +76,7 @@ s as (select *, id % 2 = 0 as added, coalesce(meta_year > 2015, false) as newer
 a as (select * from s where (added or newer) and id % 7 <> 0)
 """
 _LIFE_ROWS = _LIFE + """select id, case when not newer then nullif(document, '') end as document, case when added then meta_category end as category,
-  case when added then coalesce(meta_year, -1) else -1 end as year, case when added then meta_published::bigint end as published, round(embedding[1]::double, 6) as first from a"""
+  case when added then coalesce(meta_year, -1) else -1 end as year, case when added then coalesce(meta_published::bigint, -1) else -1 end as published, round(embedding[1]::double, 6) as first from a"""
 
 QUERIES = {
     "import_where_int": _imported({"label": {"$in": [1, 3, 5]}}),

@@ -244,3 +244,18 @@ def test_fvecs_of_several_files(spark, tmp_path):
     got = {r.id: r.embedding for r in readers.read_fvecs(spark, str(tmp_path / "all"), id_start=10).collect()}
     assert sorted(got) == list(range(10, 310)) and all(np.allclose(got[i + 10], x[i]) for i in range(300))
     assert readers.read_fvecs(spark, str(tmp_path / "all"), max_rows=120).count() == 120
+
+
+def test_text_scores_in_tasks_as_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(400)], "id bigint, document string").repartition(3)
+    queries = spark.createDataFrame([(k, " ".join(rng.choice(words + ["none"], 6))) for k in range(12)] + [(50, "none"), (51, None)], "query_id bigint, text string")
+    index = bm25.TextIndex(docs)
+    allowed = docs.where("id % 3 = 0").select("id")
+    for ok in (None, allowed):
+        want = [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in index.search(queries, 7, ok, most_terms=3).orderBy("query_id", "rank").collect()]
+        for block in (30, 4_000_000):
+            monkeypatch.setattr(bm25, "BLOCK_SCORES", block)
+            assert want == [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in index.search(queries, 7, ok).orderBy("query_id", "rank").collect()]
+    assert len(want) == 84
