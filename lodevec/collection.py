@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import store
 from .functions import vectors
 from .functions import where as W
-from .operators import bm25, mutations, topk
+from .operators import bm25, ivf, mutations, topk
 from .operators.indexes import IndexFlatSQ8
 from .sources.readers import packed
 from .types import METADATA, check_dimension, check_ef, check_links, check_metric, check_ratio, check_results, BOOLEAN, FLOAT, INTEGER, STRING
@@ -109,8 +109,9 @@ class Collection:
     read as they are, and the touched ids go through the mutation algebra. After ``FOLD_BATCHES`` batches the fold is written
     as the new base; the base before it stays until the next, for results that are still to be read.
 
-    ``M`` and ``ef_construction`` are checked and reported; the search is exact. A ``quantized`` collection scans one-byte
-    codes and ranks the best max(ef_search, 2 k) by the vectors themselves.
+    ``M`` and ``ef_construction`` are checked and reported; the search is exact, or with ``recall`` one of inverted lists whose
+    probes reach it. A ``quantized`` collection scans one-byte codes and ranks the best max(ef_search, 2 k) by the vectors
+    themselves.
     """
 
     def __init__(self, spark: SparkSession, name: str, dimension: int, metric: str = "l2", quantized: bool = False, M: int = 32, ef_construction: int = 200, ef_search: int = 96):  # noqa: N803
@@ -125,6 +126,7 @@ class Collection:
         self.epochs: dict[str, int] = {}
         self.log: store.Log | None = None
         self._index: bm25.TextIndex | None = None
+        self._lists: tuple | None = None  # lists, and what they were measured for
 
     def __repr__(self) -> str:
         return f"Collection(name={self.name!r}, dimension={self.dimension}, metric={self.metric!r}, storage_kind={self.storage_kind!r}, sequence={self.sequence})"
@@ -385,8 +387,11 @@ class Collection:
             self._index = bm25.TextIndex(self.records, "internal_id", "document")
         return self._index
 
-    def query(self, embeddings=None, texts=None, n_results: int = 10, where=None, pad: bool = False) -> DataFrame:
-        """(query_id, rank, id, distance or score, metadata, document). Ties go to the record written first."""
+    def query(self, embeddings=None, texts=None, n_results: int = 10, where=None, pad: bool = False, recall: float = 1.0) -> DataFrame:
+        """(query_id, rank, id, distance or score, metadata, document). Ties go to the record written first.
+
+        ``recall`` below 1 lets a vector search probe inverted lists, which are built once for each state of the collection.
+        """
         check_results(n_results)
         if embeddings is not None and texts is None and len(embeddings) and isinstance(embeddings[0], str):
             embeddings, texts = None, embeddings
@@ -398,10 +403,16 @@ class Collection:
             found, value = self._text_index().search(queries, n_results, allowed), "score"
         else:
             queries = self._queries(embeddings)
-            found, value = self._nearest(queries, n_results, where), "distance"
+            found, value = self._nearest(queries, n_results, where, recall), "distance"
         return self._finished(found, queries, value, n_results, pad)
 
-    def _nearest(self, queries: DataFrame, n: int, where) -> DataFrame:
+    def _nearest(self, queries: DataFrame, n: int, where, recall: float = 1.0) -> DataFrame:
+        if recall < 1:
+            version = (self.sequence, self.next_internal, recall)
+            if self._lists is None or self._lists[0] != version:
+                self._lists = version, ivf.MeasuredLists(self.records, self.metric, recall, key="internal_id")
+            allowed = None if where is None else self._candidates(where).select(F.col("internal_id").alias("id"))
+            return self._lists[1].search(queries, n, allowed)
         if not self.quantized:
             return topk.nearest(self._candidates(where), queries, n, self.metric, key="internal_id")
         index = IndexFlatSQ8(self.dimension, self.metric, rerank=-(-min(2048, max(self.ef_search, 2 * n)) // n))

@@ -79,17 +79,32 @@ class IndexFlat(_Index):
         return self._public(topk.nearest(self._held(allowed), queries, k, self.metric))
 
 
-class IndexHNSW(IndexFlat):
-    """Takes the settings of a graph index and searches exactly."""
+class IndexHNSW(_Index):
+    """Takes the settings of a graph index; searches exactly, or with a ``recall`` below 1 inverted lists whose probes reach it,
+    measured when the first search after an addition needs them. ``M`` and the two ``ef`` are checked and kept: a graph that is walked row by row
+    has no place on many executors."""
 
     kind = "hnsw"
 
-    def __init__(self, dimension, metric="l2", M=32, ef_construction=40, ef_search=16):  # noqa: N803
+    def __init__(self, dimension, metric="l2", M=32, ef_construction=40, ef_search=16, recall=1.0):  # noqa: N803
         super().__init__(dimension, metric)
-        self.links, self.ef_construction, self.ef_search = check_links(M), check_ef("ef_construction", ef_construction), check_ef("ef_search", ef_search)
+        self.links, self.ef_construction, self.ef_search, self.recall = check_links(M), check_ef("ef_construction", ef_construction), check_ef("ef_search", ef_search), recall
+        self._lists: ivf.MeasuredLists | None = None
+
+    def add(self, rows):
+        super().add(rows)
+        self._lists = None
+
+    def search(self, queries, k, allowed=None):
+        if self.recall >= 1:
+            return self._public(topk.nearest(self._held(allowed), queries, k, self.metric))
+        self._held(None)
+        if self._lists is None:
+            self._lists = ivf.MeasuredLists(self.rows, self.metric, self.recall)
+        return self._public(self._lists.search(queries, k, allowed))
 
     def _state(self):
-        return super()._state() | {"M": self.links, "ef_construction": self.ef_construction, "ef_search": self.ef_search}
+        return super()._state() | {"M": self.links, "ef_construction": self.ef_construction, "ef_search": self.ef_search, "recall": self.recall}
 
 
 class IndexFlatSQ8(_Index):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quant
 from ..types import between, check_metric, check_results
+from ..util import settle
 from . import kmeans, topk
 from .topk import ranked
 
@@ -109,7 +111,10 @@ def search_flat(
 ) -> DataFrame:
     """IVF-Flat: (query_id, rank, id, distance), exact distances within the probed lists; ``where`` is honoured."""
     check_results(k), check_metric(metric), between("nprobe", nprobe, 1, len(centroids))
-    lists = with_list(_prepare(records, metric, key, vector, where), centroids)
+    return _search_lists(with_list(_prepare(records, metric, key, vector, where), centroids), queries, centroids, k, nprobe, metric)
+
+
+def _search_lists(lists: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, nprobe: int, metric: str) -> DataFrame:
     asked = probes(_prepare(queries.withColumnRenamed("query_id", "id"), metric, "id", "embedding", None).select(F.col("id").alias("query_id"), F.col("v").alias("embedding")), centroids, nprobe, metric)
 
     def exact(_, rows, queries):
@@ -126,6 +131,55 @@ def search_flat(
     return ranked(found, k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
 
 
+#: Rows from which lists are fitted and queries by which the number of probed lists is measured.
+FIT_ROWS, MEASURED_QUERIES = 100_000, 256
+
+
+class MeasuredLists:
+    """Inverted lists whose probes reach a recall: a sub-linear search of whole vectors.
+
+    About sqrt(n) lists are fitted on a bounded sample, every row is in one. Of a sample of rows the nearest are found by
+    brute force, and as many lists are probed as the share ``recall`` of these asks for, be it all of them. Rows are written
+    by list, so that a search shuffles probes and what the probed lists hold.
+    """
+
+    def __init__(self, rows: DataFrame, metric: str = "l2", recall: float = 0.99, key: str = "id", vector: str = "embedding", nlist: int = 0, k: int = 10, rounds: int = 8):
+        self.metric = check_metric(metric)
+        if not 0 < recall <= 1:
+            raise ValueError("recall must lie in (0, 1]")
+        prepared = _prepare(rows, metric, key, vector, None)
+        n = prepared.count()
+        self.rows, self.centroids, self.nprobe, self.nlist = None, None, 0, 0
+        if not n:
+            return
+        picked = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+        fit = prepared.where(picked < min(1.0, FIT_ROWS / n)).limit(2 * FIT_ROWS)
+        self.nlist = min(n, nlist or max(1, int(math.sqrt(n))))
+        kmeans.check_centroids(self.nlist, len(prepared.first().v))
+        self.centroids = kmeans.fit(settle(fit, "fit"), self.nlist, rounds, vector="v")
+        self.rows = settle(with_list(prepared, self.centroids).repartition("list_no").sortWithinPartitions("list_no"), "lists")
+        sample = self.rows.where(picked < min(1.0, MEASURED_QUERIES / n)).limit(2 * MEASURED_QUERIES).select(F.col("id").alias("query_id"), F.col("v").alias("embedding")).collect()
+        if not sample:
+            sample = self.rows.limit(MEASURED_QUERIES).select(F.col("id").alias("query_id"), F.col("v").alias("embedding")).collect()
+        queries = rows.sparkSession.createDataFrame(sample, "query_id bigint, embedding array<float>")
+        true = topk.nearest(self.rows, queries, min(k + 1, 2048), "ip" if metric == "cosine" else metric, vector="v")
+        lists = true.join(self.rows.select(F.col("id").alias("of"), "list_no"), F.col("id") == F.col("of")).select("query_id", "list_no").collect()
+        q = np.array([r.embedding for r in sample], np.float64)
+        gap = ((self.centroids * self.centroids).sum(1)[None] - 2 * q @ self.centroids.T) if metric == "l2" else -(q @ self.centroids.T)
+        place = np.argsort(np.argsort(gap, axis=1, kind="stable"), axis=1)
+        at = {r.query_id: i for i, r in enumerate(sample)}
+        needs = [int(place[at[r.query_id], r.list_no]) + 1 for r in lists]
+        self.nprobe = int(np.quantile(needs, recall, method="higher"))
+
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """(query_id, rank, id, distance) by exact distances within the probed lists; ``allowed`` (id) filters first."""
+        check_results(k)
+        if self.rows is None:
+            return queries.sparkSession.createDataFrame([], "query_id bigint, rank bigint, id bigint, distance double")
+        lists = self.rows if allowed is None else self.rows.join(allowed.select("id"), "id", "left_semi")
+        return _search_lists(lists, queries, self.centroids, k, self.nprobe, self.metric)
+
+
 @dataclass
 class IVFPQ:
     """A compressed collection: codes of residuals by list. ``codes``: (id, list_no, code)."""

@@ -259,3 +259,39 @@ def test_text_scores_in_tasks_as_by_joins(spark, monkeypatch):
             monkeypatch.setattr(bm25, "BLOCK_SCORES", block)
             assert want == [(r.query_id, r.rank, r.id, round(r.score, 9)) for r in index.search(queries, 7, ok).orderBy("query_id", "rank").collect()]
     assert len(want) == 84
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_measured_lists(spark, metric):
+    """Probes are as many as the recall needs, with clusters and without."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 3, (40, 16))
+    for x in (centres[rng.integers(0, 40, 3000)] + rng.normal(0, 0.4, (3000, 16)), rng.normal(0, 1, (3000, 16))):
+        df = frame(spark, range(3000), x)
+        q = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+        lists = ivf.MeasuredLists(df, metric, 0.97)
+        exact = topk.nearest(df, q, 10, metric)
+        assert topk.recall(lists.search(q, 10), exact).first()[0] >= 0.94
+        if metric == "l2" and x is not None and np.abs(x).max() > 5:
+            assert lists.nprobe < lists.nlist
+    index = indexes.IndexHNSW(16, metric, recall=0.97)
+    index.add(df)
+    assert topk.recall(index.search(q, 10), exact).first()[0] >= 0.94
+    few = df.where("id < 50").select("id")
+    assert {r.id for r in lists.search(q, 5, few).collect()} <= set(range(50))
+    assert ivf.MeasuredLists(df.limit(0), metric).search(q, 5).count() == 0
+    with pytest.raises(ValueError):
+        ivf.MeasuredLists(df, metric, 0.0)
+
+
+def test_collection_with_a_recall(spark):
+    from lodevec.collection import Collection
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (1500, 6)).astype(np.float32)
+    c = Collection(spark, "r", 6)
+    c.add_numpy(np.arange(1500, dtype=np.int64), x)
+    exact = {(r.query_id, r.id) for r in c.query(x[:30].tolist(), n_results=5).collect()}
+    assert len(exact & {(r.query_id, r.id) for r in c.query(x[:30].tolist(), n_results=5, recall=0.97).collect()}) >= 0.94 * len(exact)
+    c.delete([0])
+    assert 0 not in {r.id for r in c.query(x[:1].tolist(), n_results=5, recall=0.97).collect()}
