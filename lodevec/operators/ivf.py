@@ -71,13 +71,54 @@ def _prepare(records: DataFrame, metric: str, key: str, vector: str, where: Colu
 #: Rows of a list and queries that meet in one task.
 SLICE_ROWS = 100_000
 QUERY_ROWS = 4_096
+#: Components of probing queries, each as often as it probes lists, that go to the tasks (64 MB).
+PROBE_COMPONENTS = 16_000_000
 
 
-def meet_lists(lists: DataFrame, asked: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel(list_no, rows, queries)``, Arrow tables, for what meets in a list: ``lists`` (list_no, id, ..), ``asked``
-    (list_no, query_id, q).
+def meet_lists(lists: DataFrame, asked: DataFrame, kernel, k: int, dimension: int) -> DataFrame:
+    """(query_id, id, distance): each query's best k of what ``kernel(list_no, rows, queries)`` finds for Arrow tables of what
+    meets in a list: ``lists`` (list_no, id, ..), ``asked`` (list_no, query_id, q).
 
-    A list is cut into slices and its queries into blocks, so that each task holds a bounded part of both: rows go to all
+    Up to PROBE_COMPONENTS the probes go to where the rows are, which then aren't shuffled. More of them meet the rows in a
+    cogroup by list.
+    """
+    most = PROBE_COMPONENTS // dimension
+    probing = asked.select("list_no", "query_id", "q").limit(most + 1).toArrow()
+    if probing.num_rows > most:
+        return _cogrouped(lists, asked, kernel)
+    number = probing.column("list_no").to_numpy()
+    order = np.argsort(number, kind="stable")
+    probing = probing.take(pa.array(order)).select(["query_id", "q"]).combine_chunks()
+    names, first = np.unique(number[order], return_index=True)
+    places = {int(n): (int(s), int(e - s)) for n, s, e in zip(names, first, [*first[1:], len(order)])}
+    shipped = lists.sparkSession.sparkContext.broadcast((probing, places))
+    fields = [c for c in lists.columns if c != "list_no"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probing, places = shipped.value
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column(0).to_numpy()
+            order = np.argsort(at, kind="stable")
+            rows = pa.Table.from_batches([b.select(fields).take(pa.array(order))])
+            names, first = np.unique(at[order], return_index=True)
+            parts = [held]
+            for n, s, e in zip(names.tolist(), first, [*first[1:], len(order)]):
+                if n in places:
+                    found = kernel(n, rows.slice(s, e - s), probing.slice(*places[n]))
+                    parts.append([found.column(c).to_numpy() for c in range(3)])
+            held = [np.concatenate(c) for c in zip(*parts)]
+            keep = topk.best_of(held[0], held[1], held[2], k)
+            held = [c[keep] for c in held]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["query_id", "id", "distance"])
+
+    return lists.select("list_no", *fields).mapInArrow(run, _FOUND)
+
+
+def _cogrouped(lists: DataFrame, asked: DataFrame, kernel) -> DataFrame:
+    """A list is cut into slices and its queries into blocks, so that each task holds a bounded part of both: rows go to all
     query blocks of their list and queries to all slices, one of each as a rule. Lists that no query probes stay out. The
     table of cuts has a row for each list.
     """
@@ -94,7 +135,7 @@ def meet_lists(lists: DataFrame, asked: DataFrame, kernel, schema: str) -> DataF
         return kernel(key[0].as_py(), a, b) if a.num_rows and b.num_rows else empty
 
     here, there = here.select(*keys, *[c for c in lists.columns if c != "list_no"]), there.select(*keys, "query_id", "q")
-    return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(run, schema)
+    return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
 _FOUND = "query_id bigint, id bigint, distance double"
@@ -127,7 +168,7 @@ def _search_lists(lists: DataFrame, queries: DataFrame, centroids: np.ndarray, k
             parts.append((s + i, ids[j], dist))
         return _found(qid, *(np.concatenate(c) for c in zip(*parts)), k)
 
-    found = meet_lists(lists.select("list_no", "id", "v"), asked, exact, _FOUND)
+    found = meet_lists(lists.select("list_no", "id", "v"), asked, exact, k, centroids.shape[1])
     return ranked(found, k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
 
 
@@ -287,7 +328,7 @@ class IVFPQ:
                 out.append((np.full(len(few), at), ids[few], dist[few]))
             return _found(qid, *(np.concatenate(p) for p in zip(*out)), k)
 
-        found = meet_lists(codes.select("list_no", "id", "code"), asked, look_up, _FOUND)
+        found = meet_lists(codes.select("list_no", "id", "code"), asked, look_up, k, self.dimension)
         return ranked(found, k, [F.col("distance"), F.col("id")]).select("query_id", "rank", "id", "distance")
 
     def stats(self) -> dict:

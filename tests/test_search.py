@@ -210,6 +210,7 @@ def test_lists_in_slices_and_blocks(spark, clouds, monkeypatch, metric):
     """However lists and queries are cut, the lists that are probed give what comparing with all of their rows gives."""
     monkeypatch.setattr(ivf, "SLICE_ROWS", 40)
     monkeypatch.setattr(ivf, "QUERY_ROWS", 7)
+    monkeypatch.setattr(ivf, "PROBE_COMPONENTS", 0)  # the probes of later searches go to the rows
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (600, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<float>")
@@ -220,8 +221,8 @@ def test_lists_in_slices_and_blocks(spark, clouds, monkeypatch, metric):
     assert flat == every
     index = ivf.IVFPQ(8, metric, nlist=5, m=4, nprobe=2, ksub=32).train(df).add(df)
     got = {(r.query_id, r.rank): (r.id, round(r.distance, 9)) for r in index.query(q, 6).collect()}
-    monkeypatch.setattr(ivf, "SLICE_ROWS", 10**6)
-    monkeypatch.setattr(ivf, "QUERY_ROWS", 10**6)
+    monkeypatch.setattr(ivf, "PROBE_COMPONENTS", 16_000_000)
+    assert flat == {(r.query_id, r.rank): r.id for r in ivf.search_flat(df, q, centroids, 6, 5, metric).collect()}
     assert got == {(r.query_id, r.rank): (r.id, round(r.distance, 9)) for r in index.query(q, 6).collect()}
     codes = {r.id: (r.list_no, r.code) for r in index.codes.collect()}
     decoded = {i: index.centroids[n] + np.concatenate([b[k] for b, k in zip(index.books, code)]) for i, (n, code) in codes.items()}
