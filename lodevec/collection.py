@@ -17,7 +17,7 @@ from .functions import where as W
 from .operators import bm25, ivf, mutations, topk
 from .operators.indexes import IndexFlatSQ8
 from .sources.readers import packed
-from .types import METADATA, check_dimension, check_ef, check_links, check_metric, check_ratio, check_results, BOOLEAN, FLOAT, INTEGER, STRING
+from .types import METADATA, between, check_dimension, check_ef, check_links, check_metric, check_ratio, check_results, BOOLEAN, FLOAT, INTEGER, STRING
 from .util import drop_settled, numbered, settle
 
 ROW = f"seq bigint, pos bigint, op string, id bigint, embedding array<float>, metadata {METADATA}, document string"
@@ -272,15 +272,18 @@ class Collection:
             raise ValueError("operation must be add or upsert")
         return sum(self.apply(operation, self.frame_batch(operation, b)) for b in batches)
 
-    def add_from(self, path: str, **options) -> int:
-        """Files as one batch. ``metadata_columns`` become typed metadata; an empty or missing document counts as none."""
+    def add_from(self, path: str, batch_size: int | None = None, **options) -> int:
+        """Files as one batch, which is atomic; ``batch_size`` is checked only. ``metadata_columns`` become typed metadata; an
+        empty or missing document counts as none."""
         from .sources.readers import read_vectors
 
+        between("batch_size", 1 if batch_size is None else batch_size, 1, 2**31 - 1)
         return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, packed=True, **options)], "add")
 
-    def upsert_from(self, path: str, **options) -> int:
+    def upsert_from(self, path: str, batch_size: int | None = None, **options) -> int:
         from .sources.readers import read_vectors
 
+        between("batch_size", 1 if batch_size is None else batch_size, 1, 2**31 - 1)
         return self.ingest([read_vectors(self.spark, path, dimension=self.dimension, packed=True, **options)], "upsert")
 
     def add_numpy(self, ids, embeddings) -> int:
