@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..util import settle
-from .lookalike import consistent_form
+from .lookalike import folded_form
 
 #: Characters of evaluation items that are searched for at once: they and their vectors go to every executor. More are
 #: searched for in several passes over the documents.
@@ -19,8 +19,9 @@ ITEM_CHARS = 20_000_000
 
 
 def plain_words(text: str) -> list[str]:
-    """The analyzer's words of the consistent form of ``text``."""
-    return T.python_words(consistent_form(text))
+    """The analyzer's words of ``text`` with one letter for all that look alike. Letters are folded as they stand, before the
+    analyzer lower-cases them."""
+    return T.python_words(folded_form(text))
 
 
 def windows(n: int, run: int) -> list[tuple[int, int]]:

@@ -89,6 +89,17 @@ def base_form(text: str) -> str:
     return unicodedata.normalize("NFC", text.translate(_BASE) if _TRANSLATED.search(text) else text)
 
 
+def single_steps() -> tuple[dict[str, str], dict[str, str]]:
+    """What ``base_form`` does to single characters, and what the fold does to letters composed with their accents."""
+    fold = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c)[0] == "L":
+            to = unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(_FOLD))
+            if to != unicodedata.normalize("NFC", c) and len(to) == 1:
+                fold[c] = to
+    return {chr(c): to for c, to in _BASE.items()}, fold
+
+
 def _fold_token(m: re.Match) -> str:
     token = m.group()
     return token if token.isascii() else _folded(token)
@@ -105,17 +116,22 @@ def _folded(token: str) -> str:
 _LATIN_SHAPES = set(PROTOTYPE.values())
 
 
+def folded_form(text: str) -> str:
+    """Base form in which look-alikes are one letter, the Latin one."""
+    text = base_form(text)
+    if text.isascii() or not _SUSPECT.search(text):
+        return text
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_FOLD))
+
+
 def consistent_form(text: str) -> str:
     """The form in which two texts are equal just when they look the same.
 
     Look-alikes become their Latin letter; a token whose other letters are all of one other script then gets that
     script's letters. Both steps see only what the text looks like, so equal looks give equal forms whatever was typed.
     """
-    text = base_form(text)
-    if text.isascii() or not _SUSPECT.search(text):
-        return text
-    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_FOLD))
-    return _LETTERS.sub(_fold_token, folded)
+    folded = folded_form(text)
+    return folded if folded.isascii() else _LETTERS.sub(_fold_token, folded)
 
 
 @lru_cache(maxsize=1 << 16)

@@ -174,6 +174,32 @@ x as (select t.source, w / sum(w) over () as share, cap, coalesce(tokens, 0) as
 select source from x where cap * tokens < share * (select sum(tokens) from x)
 """
 
+def _sql_fold(column: str) -> str:
+    """The look of a text as DuckDB SQL: ordinary characters, then Latin letters for look-alikes. The last step of the
+    consistent form only spells equal looks in their script, so that texts of equal looks are those of equal forms."""
+    base, fold = lookalike.single_steps()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for c, to in base.items():
+        if len(to) > 1:
+            column = f"replace({column}, {quoted(c)}, {quoted(to)})"
+    one = {c: to for c, to in base.items() if len(to) == 1}
+    gone = "".join(c for c, to in base.items() if not to)
+    column = f"nfc_normalize(translate({column}, {quoted(''.join(one) + gone)}, {quoted(''.join(one.values()))}))"
+    return f"nfc_normalize(translate({column}, {quoted(''.join(fold))}, {quoted(''.join(fold.values()))}))"
+
+
+_P8_SQL = f"""
+with f as (select doc_id, text, {_sql_fold('text')} as look from documents where text is not null)
+select a.doc_id as doc_a, b.doc_id as doc_b from f a join f b on a.look = b.look and a.doc_id < b.doc_id where a.text <> b.text
+"""
+
+_P6_SQL = f"""
+with t as (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from eval_items),
+w as (select kind, id, {T.sql_words(_sql_fold('text'))} as words from t),
+g as (select kind, id, unnest(list_transform(range(1, len(words) - 10), lambda i: array_to_string(words[i : i + 11], ' '))) as run from w where len(words) >= 12)
+select distinct d.id as doc_id, i.id as item_id from g d join g i on d.run = i.run where d.kind = 0 and i.kind = 1
+"""
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
@@ -197,6 +223,8 @@ SQL = {
     "p1_groups": _GROUPS_SQL,
     "p3_found": _P3_SQL,
     "p4_found": _P4_SQL,
+    "p8_found": _P8_SQL,
+    "p6_found": _P6_SQL,
     "p7_found": _P7_SQL.replace("\\\\", "\\"),
     "p2_terms": _P2_SQL,
     "p2_found": f"select term, verdict from ({_P2_SQL}) where verdict <> 'useful'",
